@@ -7,20 +7,35 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanweave.llm import bpe
+from spanweave.llm import bpe, counts, media, simhash
 from spanweave.llm.common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op2_media_png(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_and_describe(documents(spark, sf_dir))
+
+
+def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count_tokens(documents(spark, sf_dir), PIECE_BPE)
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(documents(spark, sf_dir), BYTE_BPE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_media_png": op2_media_png,
+        "op5_simhash_groups": op5_simhash_groups,
         "op7_bpe_codec": op7_bpe_codec,
+        "op9_token_counts": op9_token_counts,
     }
 
 
