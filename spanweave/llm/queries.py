@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanweave.llm import bpe, counts, media, simhash, substrings
+from spanweave.llm import bpe, counts, media, mixing, simhash, substrings
 from spanweave.llm.common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +26,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(documents(spark, sf_dir), PIECE_BPE)
 
 
+def op8_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def op10_substring_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_digests(documents(spark, sf_dir))
 
@@ -39,6 +43,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_media_png": op2_media_png,
         "op5_simhash_groups": op5_simhash_groups,
         "op7_bpe_codec": op7_bpe_codec,
+        "op8_pivotal_mix": op8_pivotal_mix,
         "op9_token_counts": op9_token_counts,
         "op10_substring_spans": op10_substring_spans,
     }
