@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanweave.llm import bpe, counts, media, mixing, simhash, substrings
+from spanweave.llm import bpe, counts, langid, media, mixing, simhash, substrings
 from spanweave.llm.common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,6 +18,10 @@ def op2_media_png(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_and_describe(documents(spark, sf_dir))
 
 
+def op4_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -41,6 +45,7 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_media_png": op2_media_png,
+        "op4_crf_language": op4_crf_language,
         "op5_simhash_groups": op5_simhash_groups,
         "op7_bpe_codec": op7_bpe_codec,
         "op8_pivotal_mix": op8_pivotal_mix,
