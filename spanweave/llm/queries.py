@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanweave.llm import bpe, counts, langid, media, mixing, simhash, substrings
+from spanweave.llm import bpe, counts, langid, media, mixing, neighbours, simhash, substrings
 from spanweave.llm.common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,6 +30,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(documents(spark, sf_dir), PIECE_BPE)
 
 
+def op6_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours.nearest(vectors, lambda vec_id: vec_id % 50 == 0)
+
+
 def op8_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -47,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_media_png": op2_media_png,
         "op4_crf_language": op4_crf_language,
         "op5_simhash_groups": op5_simhash_groups,
+        "op6_projection_forest": op6_projection_forest,
         "op7_bpe_codec": op7_bpe_codec,
         "op8_pivotal_mix": op8_pivotal_mix,
         "op9_token_counts": op9_token_counts,
