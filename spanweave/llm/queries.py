@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanweave.llm import bpe, counts, langid, media, mixing, neighbours, simhash, substrings
+from spanweave.llm import bpe, counts, langid, media, mixing, neighbours, shards, simhash, substrings
 from spanweave.llm.common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.training_order(documents(spark, sf_dir))
+
+
 def op2_media_png(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_and_describe(documents(spark, sf_dir))
 
@@ -49,6 +53,7 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_training_order": op1_training_order,
         "op2_media_png": op2_media_png,
         "op4_crf_language": op4_crf_language,
         "op5_simhash_groups": op5_simhash_groups,
