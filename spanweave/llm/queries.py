@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanweave.llm import bpe, counts, langid, media, mixing, neighbours, shards, simhash, substrings
+from spanweave.llm import bpe, counts, langid, licenses, media, mixing, neighbours, shards, simhash, substrings
 from spanweave.llm.common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,10 @@ def op2_media_png(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_and_describe(documents(spark, sf_dir))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(documents(spark, sf_dir))
+
+
 def op4_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_training_order": op1_training_order,
         "op2_media_png": op2_media_png,
+        "op3_license_scan": op3_license_scan,
         "op4_crf_language": op4_crf_language,
         "op5_simhash_groups": op5_simhash_groups,
         "op6_projection_forest": op6_projection_forest,

@@ -16,6 +16,7 @@ member has an id.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from itertools import combinations, repeat
@@ -26,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from spanweave.llm.common import byte_texts, materialise
 from spanweave.llm.components import components
@@ -229,3 +231,39 @@ def _with_components(prints: DataFrame, budget: int, key: str = "doc_id") -> Dat
     least = linked.groupBy("root").agg(F.min("own").alias("all"))
     whole = distinct.join(linked.join(least, "root").select("fp", "all"), "fp", "left").select("fp", F.coalesce("all", "own").alias("least"))
     return prints.join(whole, "fp")
+
+
+def _row_prints(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = byte_texts(batch.column(1))
+            fps = np.array([fingerprint(t, width) for t in texts], np.uint64)
+            keys = [hashlib.blake2b(t, digest_size=16).hexdigest() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string()), pa.array(fps.view(np.int64))], names=["doc_id", "text_key", "fp"])
+
+    return run
+
+
+def _text_keys(at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [hashlib.blake2b(t, digest_size=16).hexdigest() for t in byte_texts(batch.column(at))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.string())], names=[*batch.schema.names, "_text_key"])
+
+    return run
+
+
+def keep_first(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
+    """The rows of ``docs``, one of each group of near duplicates.
+
+    The row with the least (doc_id, text digest) stays, a null id last; of rows
+    equal in both one stays.
+    """
+    prints = docs.select("doc_id", "text").mapInArrow(_row_prints(width), "doc_id long, text_key string, fp long")
+    last = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    prints = materialise(prints.withColumn("key", last), "fingerprints")
+    kept = _with_components(prints, budget, "key").where(F.col("key") == F.col("least"))
+    kept = kept.select(F.col("doc_id").alias("_k_doc"), F.col("text_key").alias("_k_text")).distinct()
+    keyed = docs.mapInArrow(_text_keys(docs.columns.index("text")), StructType([*docs.schema.fields, StructField("_text_key", StringType())]))
+    on = F.col("doc_id").eqNullSafe(F.col("_k_doc")) & (F.col("_text_key") == F.col("_k_text"))
+    return keyed.join(kept, on, "left_semi").dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
