@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from spanweave.llm.common import TwoGenerations, utf8_spans
 
 MARK = "▁"
-#: Characters of a chunk, states kept at once, words remembered by a worker.
-CHUNK, STATES, MEMO = 1 << 16, 40_000, 300_000
+#: Characters of a chunk; states, pairs and words that a worker remembers.
+CHUNK, STATES, PAIRS, MEMO = 1 << 16, 120_000, 300_000, 250_000
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -91,20 +91,22 @@ class Transducer:
         if any(MARK in p.lstrip(MARK) for p in self.score):
             raise ValueError("a piece crosses a word mark")
         self.known = {c for p in self.score for c in p}
-        self.longest = max(map(len, self.score))
-        self.suffixes: dict[str, list[int]] = {}
+        self.starts = {p[:n] for p in self.score for n in range(1, len(p))}  # of the automaton
+        self.made: dict[str, tuple[str, str] | None] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.tails: dict[str, tuple] = {}
         self._reset()
         self.memo = TwoGenerations(self._word, MEMO)
 
-    # merging itself: gives the pair table, and runs of marks
+    # merging itself: how tokens are made, and runs of marks
 
-    def merge(self, text: str) -> list[str]:
-        """The merge queue: best score first, then the left one."""
+    def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """The merge queue, best score first, then the left one; and the two
+        parts of the last merge."""
         n = len(text)
         sym: list[str] = list(text)
         nxt, prv = [*range(1, n), -1], [-1, *range(n - 1)]
-        score = self.score
+        score, last = self.score, None
         heap = [(-score[p], i, p) for i in range(n - 1) if (p := sym[i] + sym[i + 1]) in score]
         heapq.heapify(heap)
         while heap:
@@ -112,6 +114,7 @@ class Transducer:
             j = nxt[i]
             if not sym[i] or j < 0 or len(sym[i]) + len(sym[j]) != len(p) or sym[i] + sym[j] != p:
                 continue
+            last = (sym[i], sym[j])
             sym[i], sym[j] = p, ""
             nxt[i] = k = nxt[j]
             if k >= 0:
@@ -121,60 +124,109 @@ class Transducer:
             h = prv[i]
             if h >= 0 and (q := sym[h] + p) in score:
                 heapq.heappush(heap, (-score[q], h, q))
-        return [s for s in sym if s]
+        return [s for s in sym if s], last
+
+    def parts(self, token: str) -> tuple[str, str] | None:
+        """The two tokens that a token is merged from; None if merging its own
+        characters does not give it, so that it never comes up."""
+        if token not in self.made:
+            out, last = self.merge(token)
+            self.made[token] = last if len(out) == 1 else None
+        return self.made[token]
 
     def _stands(self, left: str, right: str) -> bool:
         key = (left, right)
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= 400_000:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            known = self.pairs[key] = self.merge(left + right) == [left, right]
+            known = self.pairs[key] = self._pair_stands(left, right)
         return known
 
+    def _pair_stands(self, left: str, right: str) -> bool:
+        """Would merging the characters of both tokens leave just these two?
+
+        A merge across the border that comes before a merge that built either
+        side breaks the pair.
+        """
+        limit, score = float("inf"), self.score
+        while True:
+            across = score.get(left + right)
+            if across is not None and -across < limit:
+                return False
+            rl = -score[left] if len(left) > 1 else -1
+            rr = -score[right] if len(right) > 1 else -1
+            if rl > rr:
+                limit, left = rl, self.parts(left)[1]
+            elif rr >= 0:  # of equal merges the left one comes first
+                limit, right = rr + 1, self.parts(right)[0]
+            else:
+                return True
+
     # the machine
 
     def _reset(self) -> None:
-        """State 0 is the empty prefix.  window: (last token, count) of the
-        recent prefixes, oldest first, counts relative to the newest."""
-        self.ids: dict[tuple, int] = {((("", 0),), ""): 0}
-        self.windows: list[tuple[tuple, str]] = [((("", 0),), "")]
+        """State 0 is the empty prefix.  A state: the longest end of the prefix
+        that starts some piece, and (last token, count) of the prefixes that
+        reach back as far, counts relative to the newest."""
+        start = ("", (("", 0),))
+        self.ids: dict[tuple, int] = {start: 0}
+        self.states: list[tuple] = [start]
         self.go: list[dict[str, tuple[int, int]]] = [{}]
 
+    def _tail(self, tail: str) -> tuple[str, int, tuple[bool, ...], tuple[tuple[int, str, int], ...]]:
+        """What a step needs of the end of a prefix: its longest end that
+        starts a piece, what that leaves out, which of its places start one,
+        and the pieces that may be its last token (length, piece, tokens)."""
+        score = self.score
+        ends = []
+        for n in range(1, len(tail) + 1):
+            t = tail[-n:]
+            if n == 1 or t in score and self.parts(t) is not None:
+                ends.append((n, t, 1 if t in score else len(t.encode())))
+        rest = tail
+        while rest and rest not in self.starts:
+            rest = rest[1:]
+        return rest, len(tail) - len(rest), tuple(rest[i:] in self.starts for i in range(len(rest))), tuple(ends)
+
     def _step(self, state: int, c: str) -> tuple[int, int]:
         """(next state, tokens added) of a transition met for the first time."""
-        window, tail = self.windows[state]
-        tail = (tail + c)[-self.longest :]
-        if c not in self.known:
-            token, count = c, len(c.encode())  # byte fallback: one token a byte
-            window, tail = ((c, 0),), ""
-        else:
-            token = None
-            for n in range(1, len(tail) + 1):
-                t = tail[-n:]
-                if n > 1 and t not in self.score:
+        if c not in self.known:  # byte fallback: one token a byte, and a fresh start
+            out = self.go[state][c] = (0, len(c.encode()))
+            return out
+        tail, window = self.states[state]
+        tail += c
+        made = self.tails.get(tail)
+        if made is None:
+            made = self.tails[tail] = self._tail(tail)
+        rest, gone, place, ends = made
+        pairs = self.pairs
+        for n, token, add in ends:
+            before, count = window[-n]
+            if before:
+                stands = pairs.get((before, token))
+                if stands is None:
+                    stands = self._stands(before, token)
+                if not stands:
                     continue
-                if n > len(window):
-                    break
-                before, at = window[-n]
-                if before == "" or before not in self.score and len(before) == 1 and before not in self.known or self._stands(before, t):
-                    token, count = t, at + 1 if n > 1 or c in self.score else at + len(c.encode())
-                    break
-            if token is None:
-                raise AssertionError(f"no token ends {tail!r}")
-            window = (*((t, k - count) for t, k in window[-(self.longest - 1) :]), (token, 0))
-        key = (window, tail)
+            count += add
+            break
+        else:
+            raise AssertionError(f"no token ends {tail!r}")
+        # a later piece can only begin where the end of the prefix starts one
+        window = (*[(w[0], w[1] - count) if ok and w else None for ok, w in zip(place, window[gone:])], (token, 0))  # noqa: B905
+        key = (rest, window)
         to = self.ids.get(key)
         if to is None:
-            to = self.ids[key] = len(self.windows)
-            self.windows.append(key)
+            to = self.ids[key] = len(self.states)
+            self.states.append(key)
             self.go.append({})
-        self.go[state][c] = (to, count)
-        return to, count
+        out = self.go[state][c] = (to, count)
+        return out
 
     def walk(self, text: str) -> int:
         """Tokens of a word: marks only in front, at most one."""
-        if len(self.windows) > STATES:
+        if len(self.states) > STATES:
             self._reset()
         go, state, total = self.go, 0, 0
         for c in text:
@@ -193,7 +245,7 @@ class Transducer:
         return self.walk(MARK + rest)
 
     def _merged(self, text: str) -> int:
-        return sum(1 if s in self.score else len(s.encode()) for s in self.merge(text))
+        return sum(1 if s in self.score else len(s.encode()) for s in self.merge(text)[0])
 
     # chunk maps
 
