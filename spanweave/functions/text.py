@@ -9,6 +9,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanweave.functions import frames
 
@@ -104,7 +105,14 @@ def project_facts(path: Column, name: Column) -> dict[str, Column]:
 # --- stack traces: bracket depths need a loop, so these are Arrow-batched UDFs ----
 
 
-FRAME = "struct<type string, method string, key string, parameters array<string>, file string, line int>"
+FRAME = T.StructType(
+    [
+        *(T.StructField(n, T.StringType()) for n in ("type", "method", "key")),
+        T.StructField("parameters", T.ArrayType(T.StringType())),
+        T.StructField("file", T.StringType()),
+        T.StructField("line", T.IntegerType()),
+    ]
+)
 
 
 @F.pandas_udf(FRAME)
@@ -115,13 +123,13 @@ def parse_frame(lines: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([r or none for r in rows], columns=["type", "method", "key", "parameters", "file", "line"]).astype({"line": "Int32"})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normal_type(types: pd.Series) -> pd.Series:
     """A type's short runtime name, for comparing spellings."""
     return types.map(lambda x: None if x is None else frames.normal_type(x))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def id_parameters(ids: pd.Series) -> pd.Series:
     """Normalised parameter types of a method id."""
     return ids.map(lambda x: None if x is None else [frames.normal_type(p) for p in frames.id_parameters(x)])
@@ -165,6 +173,6 @@ def diagram_url(code: str, base: str = "https://mermaid.live/view#pako:") -> str
     return base + base64.urlsafe_b64encode(stored_zlib(state.encode())).decode().rstrip("=")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def diagram_link(code: pd.Series) -> pd.Series:
     return code.map(lambda c: None if c is None else diagram_url(c))

@@ -31,9 +31,9 @@ from spanweave.llm.common import TwoGenerations, utf8_spans
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct text pieces whose ids a Python worker remembers.
-MEMO = 250_000
+MEMO = 120_000
 #: Rows of the pair table that are kept at once.
-PAIRS = 400_000
+PAIRS = 200_000
 
 
 def _byte_of_char() -> dict[str, int]:

@@ -30,7 +30,7 @@ from spanweave.llm.common import TwoGenerations, utf8_spans
 
 MARK = "▁"
 #: Characters of a chunk; states, pairs and words that a worker remembers.
-CHUNK, STATES, PAIRS, MEMO = 1 << 16, 120_000, 300_000, 250_000
+CHUNK, STATES, PAIRS, MEMO = 1 << 16, 90_000, 200_000, 150_000
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:

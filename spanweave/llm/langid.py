@@ -34,7 +34,7 @@ from spanweave.llm.common import slices, utf8_spans
 #: Bound of the training sample, texts of one language; and words of all.
 PER_LANGUAGE, TRAIN_WORDS = 150, 600_000
 #: Buckets of the n-gram features; bytes of text labelled at once.
-BUCKETS, BLOCK = 1 << 15, 4 << 20
+BUCKETS, BLOCK = 1 << 15, 3 << 19
 ROUNDS, RUN = 30, 40
 
 BASE = np.uint64(0x5851F42D4C957F2D)
@@ -127,9 +127,9 @@ class Crf:
         out[~w.lettered] = 0
         return out
 
-    def posteriors(self, scores: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Posteriors of each word of sequences of these lengths (all > 0), the
-        expected transitions and the expected first labels.
+    def posteriors(self, scores: np.ndarray, lengths: np.ndarray, learn: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+        """Posteriors of each word of sequences of these lengths (all > 0); to
+        learn, also the expected transitions and first labels.
 
         Sequences go side by side, the longest first; step t handles every
         sequence that has a word t.
@@ -159,17 +159,19 @@ class Crf:
             now = (e[a:b] * beta[a:b]) @ go.T
             now /= now.sum(axis=1, keepdims=True)
             beta[off[t] : off[t] + (b - a)] = now
+        out = np.empty_like(e)
+        if not learn:
+            alpha *= beta
+            alpha /= alpha.sum(axis=1, keepdims=True)
+            out[where] = alpha
+            return out, None, None
         post = alpha * beta
         post /= post.sum(axis=1, keepdims=True)
-        # expected transitions
-        k = len(self.labels)
-        pairs = np.zeros((k, k))
         later = np.arange(off[1], off[-1])
         before = off[step[later] - 1] + rank[later]
         right = e[later] * beta[later]
         norm = np.einsum("ni,ij,nj->n", alpha[before], go, right, optimize=True)
         pairs = (alpha[before] / norm[:, None]).T @ right * go
-        out = np.empty_like(post)
         out[where] = post
         return out, pairs, post[: active[0]].sum(axis=0)
 
@@ -236,7 +238,7 @@ def fit(samples: list[tuple[str, str]]) -> Crf | None:
     weights = [model.grams, model.entries, model.steps, model.first]
     sums = [np.full(x.shape, 1e-8) for x in weights]
     for _ in range(ROUNDS):
-        post, pairs, first = model.posteriors(model.emissions(w)[w.word], lengths)
+        post, pairs, first = model.posteriors(model.emissions(w)[w.word], lengths, learn=True)
         diff = truth - post
         by_word = np.stack([np.bincount(w.word, weights=diff[:, j], minlength=len(w.hashes)) for j in range(k)], axis=1)
         by_word[~w.lettered] = 0
