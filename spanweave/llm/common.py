@@ -48,6 +48,17 @@ def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, made longer where one of the columns has that name already."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def utf8_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, starts, ends) of a string column without copying its text.
 

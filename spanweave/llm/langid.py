@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from spanweave.llm.common import slices, utf8_spans
+from spanweave.llm.common import slices, unused, utf8_spans
 
 #: Bound of the training sample, texts of one language; and words of all.
 PER_LANGUAGE, TRAIN_WORDS = 150, 600_000
@@ -278,7 +278,7 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[t
     return out
 
 
-def _predict(model):
+def _predict(model, pred: str, sure: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = model.value
         for batch in batches:
@@ -291,25 +291,25 @@ def _predict(model):
                 best, score = crf.label(texts) if crf is not None else (np.full(j - i, -1), np.zeros(j - i))
                 names += [crf.labels[b] if b >= 0 else "und" for b in best.tolist()]
                 scores += score.tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "_lang_pred", "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, pred, sure])
 
     return run
 
 
-def predict(docs: DataFrame, columns: list[str], model: Crf | None) -> DataFrame:
-    """``columns`` (text among them) with _lang_pred and _score."""
+def predict(docs: DataFrame, columns: list[str], model: Crf | None, pred: str, sure: str) -> DataFrame:
+    """``columns`` (text among them) with the language and the score under these names."""
     spark = docs.sparkSession
     some = docs.select(*columns)
-    schema = StructType([*some.schema.fields, StructField("_lang_pred", StringType()), StructField("_score", DoubleType())])
-    return some.mapInArrow(_predict(spark.sparkContext.broadcast(model)), schema)
+    schema = StructType([*some.schema.fields, StructField(pred, StringType()), StructField(sure, DoubleType())])
+    return some.mapInArrow(_predict(spark.sparkContext.broadcast(model), pred, sure), schema)
 
 
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row per input row."""
     samples = training_sample(docs, per_language)
     model = fit(samples) if samples else None
-    out = predict(docs, ["doc_id", "text"], model)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+    out = predict(docs, ["doc_id", "text"], model, "lang_pred", "score")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
@@ -317,5 +317,6 @@ def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     score; the others are rejected."""
     samples = training_sample(docs)
     model = fit(samples) if samples else None
-    out = predict(docs, docs.columns, model)
-    return out.where((F.col("_lang_pred") != "und") & (F.col("_score") >= least)).select(*docs.columns)
+    pred, sure = unused(docs.columns, "_lang_pred", "_score")
+    out = predict(docs, docs.columns, model, pred, sure)
+    return out.where((F.col(pred) != "und") & (F.col(sure) >= least)).select(*docs.columns)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanweave.llm.common import materialise
+from spanweave.llm.common import materialise, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of a chunk, on average; children of a node of the reduction tree.
@@ -169,8 +169,10 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     0 carries no words and stays once."""
     size = word_count(F.col("text"))
     made = materialise(decisions(docs.select("doc_id", "source", size.alias("size")), **how).select("doc_id", "source", "size", "copies"), "copies")
-    made = made.toDF("_m_doc", "_m_source", "_m_size", "_m_copies")
-    on = F.col("doc_id").eqNullSafe(F.col("_m_doc")) & F.col("source").eqNullSafe(F.col("_m_source")) & (size == F.col("_m_size"))
-    times = F.when(F.col("_m_size") == 0, 1).otherwise(F.col("_m_copies")).cast("int")
-    joined = docs.join(made, on).withColumn("_m_times", times).where("_m_times > 0")
-    return joined.withColumn("_m_i", F.explode(F.sequence(F.lit(1), F.col("_m_times")))).select(*docs.columns)
+    names = unused(docs.columns, "_m_doc", "_m_source", "_m_size", "_m_copies", "_m_times", "_m_i")
+    made = made.toDF(*names[:4])
+    m_doc, m_source, m_size, m_copies, m_times = map(F.col, names[:5])
+    on = F.col("doc_id").eqNullSafe(m_doc) & F.col("source").eqNullSafe(m_source) & (size == m_size)
+    times = F.when(m_size == 0, 1).otherwise(m_copies).cast("int")
+    joined = docs.join(made, on).withColumn(names[4], times).where(m_times > 0)
+    return joined.withColumn(names[5], F.explode(F.sequence(F.lit(1), m_times))).select(*docs.columns)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from spanweave.llm.common import byte_texts, materialise
+from spanweave.llm.common import byte_texts, materialise, unused
 from spanweave.llm.components import components
 
 #: Fingerprints of a subtree on average, and leaves that are compared outright.
@@ -244,11 +244,11 @@ def _row_prints(width: int):
     return run
 
 
-def _text_keys(at: int):
+def _text_keys(at: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [hashlib.blake2b(t, digest_size=16).hexdigest() for t in byte_texts(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.string())], names=[*batch.schema.names, "_text_key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.string())], names=[*batch.schema.names, name])
 
     return run
 
@@ -263,7 +263,8 @@ def keep_first(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
     last = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     prints = materialise(prints.withColumn("key", last), "fingerprints")
     kept = _with_components(prints, budget, "key").where(F.col("key") == F.col("least"))
-    kept = kept.select(F.col("doc_id").alias("_k_doc"), F.col("text_key").alias("_k_text")).distinct()
-    keyed = docs.mapInArrow(_text_keys(docs.columns.index("text")), StructType([*docs.schema.fields, StructField("_text_key", StringType())]))
-    on = F.col("doc_id").eqNullSafe(F.col("_k_doc")) & (F.col("_text_key") == F.col("_k_text"))
-    return keyed.join(kept, on, "left_semi").dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
+    key, k_doc, k_text = unused(docs.columns, "_text_key", "_k_doc", "_k_text")
+    kept = kept.select(F.col("doc_id").alias(k_doc), F.col("text_key").alias(k_text)).distinct()
+    keyed = docs.mapInArrow(_text_keys(docs.columns.index("text"), key), StructType([*docs.schema.fields, StructField(key, StringType())]))
+    on = F.col("doc_id").eqNullSafe(F.col(k_doc)) & (F.col(key) == F.col(k_text))
+    return keyed.join(kept, on, "left_semi").dropDuplicates(["doc_id", key]).select(*docs.columns)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from spanweave.llm.common import materialise, slices, utf8_spans
+from spanweave.llm.common import materialise, slices, unused, utf8_spans
 
 #: Words of a window and of an anchor; bytes of text handled at once.
 WINDOW, ANCHOR, BLOCK = 50, 12, 1 << 20
@@ -270,14 +270,14 @@ def dedup_digests(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -
     )
 
 
-def _keyed(at: int):
+def _keyed(at: int, t1: str, t2: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, starts, ends = utf8_spans(batch.column(at))
             view = memoryview(raw)
             keys = [_text_key(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], names=[*batch.schema.names, "_t1", "_t2"]
+                [*batch.columns, pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], names=[*batch.schema.names, t1, t2]
             )
 
     return run
@@ -292,12 +292,13 @@ def remove_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     every, changed = duplicate_spans(docs, window, anchor)
     whole = every.where(F.col("copy") & (F.col("n_words") >= window)).select("doc_id", "t1", "t2", F.lit("").alias("kept")).distinct()
     new = changed.join(whole, _same(changed, whole), "left_anti").select("doc_id", "t1", "t2", "kept").unionByName(whole)
-    new = materialise(new, "kept").toDF("_n_doc", "_n_1", "_n_2", "_n_kept")
-    keyed = docs.mapInArrow(_keyed(docs.columns.index("text")), StructType([*docs.schema.fields, StructField("_t1", LongType()), StructField("_t2", LongType())]))
-    on = F.col("doc_id").eqNullSafe(F.col("_n_doc")) & (F.col("_t1") == F.col("_n_1")) & (F.col("_t2") == F.col("_n_2"))
-    out = keyed.join(new, on, "left").where(F.col("_n_kept").isNull() | (F.col("_n_kept") != ""))
-    text = F.coalesce("_n_kept", "text")
+    t1, t2, n_doc, n_1, n_2, n_kept = unused(docs.columns, "_t1", "_t2", "_n_doc", "_n_1", "_n_2", "_n_kept")
+    new = materialise(new, "kept").toDF(n_doc, n_1, n_2, n_kept)
+    keyed = docs.mapInArrow(_keyed(docs.columns.index("text"), t1, t2), StructType([*docs.schema.fields, StructField(t1, LongType()), StructField(t2, LongType())]))
+    on = F.col("doc_id").eqNullSafe(F.col(n_doc)) & (F.col(t1) == F.col(n_1)) & (F.col(t2) == F.col(n_2))
+    out = keyed.join(new, on, "left").where(F.col(n_kept).isNull() | (F.col(n_kept) != ""))
+    text = F.coalesce(n_kept, "text")
     cols = {"text": text}
     if "n_chars" in docs.columns:
-        cols["n_chars"] = F.when(F.col("_n_kept").isNull(), F.col("n_chars")).otherwise(F.length("_n_kept")).cast(docs.schema["n_chars"].dataType)
+        cols["n_chars"] = F.when(F.col(n_kept).isNull(), F.col("n_chars")).otherwise(F.length(n_kept)).cast(docs.schema["n_chars"].dataType)
     return out.select(*[cols[c].alias(c) if c in cols else F.col(c) for c in docs.columns])
