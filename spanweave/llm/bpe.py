@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame
 from spanweave.llm.common import TwoGenerations, utf8_spans
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct text pieces whose ids a Python worker remembers.
-MEMO = 120_000
+#: Distinct text pieces, and words of the pattern, whose ids a Python worker
+#: remembers.
+MEMO, WORDS = 100_000, 200_000
 #: Rows of the pair table that are kept at once.
 PAIRS = 200_000
 
@@ -96,6 +97,7 @@ class Encoder:
         self.store = np.frombuffer(b"".join(self.token), np.uint8)
         self.place, self.length = np.cumsum(lengths) - lengths, lengths
         self.memo = TwoGenerations(self._piece, MEMO)
+        self.words = TwoGenerations(self._word, WORDS)
         self.decimal = [str(i) for i in range(size)]
 
     def _pair_stands(self, left: int, right: int) -> bool:
@@ -185,11 +187,13 @@ class Encoder:
         """Decimal ids joined by commas, and the ids as 4-byte numbers."""
         words = self.split.findall(piece)
         if len(words) == 1:
-            ids = self._encode_word(piece.encode())
-        else:
-            ids = [i for w in words for i in self._encode_word(w.encode())]
-        decimal = self.decimal
-        return ",".join([decimal[i] for i in ids]), array("I", ids).tobytes()
+            return self.words[piece]
+        joined, packed = zip(*map(self.words.__getitem__, words), strict=True)
+        return ",".join(joined), b"".join(packed)
+
+    def _word(self, word: str) -> tuple[str, bytes]:
+        ids = self._encode_word(word.encode())
+        return ",".join(map(self.decimal.__getitem__, ids)), array("I", ids).tobytes()
 
     def _pieces(self, text: str) -> list[str]:
         """Cuts that no merge crosses: before each single space that a

@@ -7,8 +7,10 @@ tokens by which the count of the prefix changes, so a walk needs no merge
 queue.  The last token of a longer prefix is the one vocabulary suffix whose
 pair with the token before it survives merging.
 
-No piece has the word mark after another character, so every mark resets the
-machine.  The map of a chunk of text is therefore small: what it needs from
+Where two neighbouring characters stand together in no piece, no merge crosses,
+so the machine starts afresh there; a run between two such borders is a segment,
+and what it adds does not depend on what is around it.  No piece has the word
+mark after another character, so every mark is such a border.  The map of a chunk of text is therefore small: what it needs from
 the chunk before (its head up to the first mark), the tokens in between, and
 the open word it leaves (its tail).  Maps compose associatively and a
 balanced scan joins the chunks of a text.
@@ -29,8 +31,8 @@ from pyspark.sql import DataFrame
 from spanweave.llm.common import TwoGenerations, utf8_spans
 
 MARK = "▁"
-#: Characters of a chunk; states, pairs and words that a worker remembers.
-CHUNK, STATES, PAIRS, MEMO = 1 << 16, 90_000, 200_000, 150_000
+#: Characters of a chunk; states, pairs, words and segments that a worker remembers.
+CHUNK, STATES, PAIRS, MEMO, SEGMENTS = 1 << 16, 90_000, 200_000, 100_000, 200_000
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -91,12 +93,14 @@ class Transducer:
         if any(MARK in p.lstrip(MARK) for p in self.score):
             raise ValueError("a piece crosses a word mark")
         self.known = {c for p in self.score for c in p}
+        self.together = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
         self.starts = {p[:n] for p in self.score for n in range(1, len(p))}  # of the automaton
         self.made: dict[str, tuple[str, str] | None] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.tails: dict[str, tuple] = {}
         self._reset()
         self.memo = TwoGenerations(self._word, MEMO)
+        self.segments = TwoGenerations(self.walk, SEGMENTS)
 
     # merging itself: how tokens are made, and runs of marks
 
@@ -242,7 +246,11 @@ class Transducer:
         if rest.startswith(MARK):
             body = rest.lstrip(MARK)
             return self._merged(MARK * (1 + len(rest) - len(body)) + body)
-        return self.walk(MARK + rest)
+        word, together = MARK + rest, self.together
+        cuts = [i for i, pair in enumerate(map(str.__add__, word, rest), 1) if pair not in together]
+        if not cuts:
+            return self.segments[word]
+        return sum([self.segments[word[a:b]] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)])
 
     def _merged(self, text: str) -> int:
         return sum(1 if s in self.score else len(s.encode()) for s in self.merge(text)[0])
