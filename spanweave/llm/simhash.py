@@ -230,6 +230,7 @@ def _with_components(prints: DataFrame, budget: int, key: str = "doc_id") -> Dat
     linked = distinct.join(roots, "fp")
     least = linked.groupBy("root").agg(F.min("own").alias("all"))
     whole = distinct.join(linked.join(least, "root").select("fp", "all"), "fp", "left").select("fp", F.coalesce("all", "own").alias("least"))
+    whole = materialise(whole, "groups")  # a table, so that the rows of one fingerprint can be split over tasks
     return prints.join(whole, "fp")
 
 

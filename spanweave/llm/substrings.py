@@ -241,7 +241,9 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     # anchors of two documents or more; ids differ, or the texts do
     each = heads.select("id", "t1", "t2", F.explode("anchors").alias("anchor"))
     each = materialise(each, "occurrences")
-    shared = each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # tables, not aggregates, on the small side: then a common passage's rows
+    # can be split over tasks
+    shared = materialise(each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "shared")
     wanted = each.join(shared, "anchor", "left_semi").groupBy("id", "t1", "t2").agg(F.collect_list("anchor").alias("shared"))
     wanted = wanted.select(F.nullif("id", F.lit(LAST_ID)).alias("doc_id"), "t1", "t2", "shared")
     packed = docs.mapInArrow(_pack, "doc_id long, t1 long, t2 long, packed binary")
@@ -250,6 +252,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     windows = materialise(texts.mapInArrow(_windows(window, anchor), "doc_id long, t1 long, t2 long, h1 long, h2 long, at int"), "windows")
     order = F.coalesce("doc_id", F.lit(LAST_ID))
     least = windows.groupBy("h1", "h2").agg(F.min(order).alias("low"), F.max(order).alias("high")).where("low < high").drop("high")
+    least = materialise(least, "least")
     hits = windows.join(least, ["h1", "h2"]).where(F.col("low") < order).groupBy("doc_id", "t1", "t2").agg(F.collect_list("at").alias("spans"))
     texts = texts.drop("shared")
     changed = texts.join(hits, _same(texts, hits)).select(texts["doc_id"], texts["t1"], texts["t2"], "packed", "spans")
