@@ -27,14 +27,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from spanweave.llm.common import TwoGenerations, utf8_spans
+from spanweave.llm.common import TwoGenerations, release, utf8_spans
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct text pieces, and words of the pattern, whose ids a Python worker
 #: remembers.
-MEMO, WORDS = 100_000, 200_000
+MEMO, WORDS = 60_000, 120_000
 #: Rows of the pair table that are kept at once.
-PAIRS = 200_000
+PAIRS = 150_000
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -255,6 +255,7 @@ def _digests(path: str):
                 [batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(dec_sha, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        release()
 
     return run
 

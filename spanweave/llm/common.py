@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -91,6 +92,16 @@ def slices(starts: np.ndarray, ends: np.ndarray, most: int) -> Iterator[tuple[in
         i = j
 
 
+def release() -> None:
+    """Give memory that a finished task no longer needs back to the system;
+    Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each row; a null is empty."""
     raw, starts, ends = utf8_spans(column)

@@ -28,7 +28,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from spanweave.llm.common import TwoGenerations, utf8_spans
+from spanweave.llm.common import TwoGenerations, release, utf8_spans
 
 MARK = "▁"
 #: Characters of a chunk; states, pairs, words and segments that a worker remembers.
@@ -335,6 +335,7 @@ def _counts(path: str, limit: int):
                 [batch.column(0), pa.array(ends - starts, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
+        release()
 
     return run
 

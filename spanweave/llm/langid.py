@@ -29,12 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from spanweave.llm.common import slices, unused, utf8_spans
+from spanweave.llm.common import release, slices, unused, utf8_spans
 
 #: Bound of the training sample, texts of one language; and words of all.
 PER_LANGUAGE, TRAIN_WORDS = 150, 600_000
 #: Buckets of the n-gram features; bytes of text labelled at once.
-BUCKETS, BLOCK = 1 << 15, 3 << 19
+BUCKETS, BLOCK = 1 << 15, 1 << 20
 ROUNDS, RUN = 30, 40
 
 BASE = np.uint64(0x5851F42D4C957F2D)
@@ -292,6 +292,7 @@ def _predict(model, pred: str, sure: str):
                 names += [crf.labels[b] if b >= 0 else "und" for b in best.tolist()]
                 scores += score.tolist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, pred, sure])
+        release()
 
     return run
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from spanweave.llm.common import byte_texts, materialise, unused
+from spanweave.llm.common import byte_texts, materialise, release, unused
 from spanweave.llm.components import components
 
 #: Fingerprints of a subtree on average, and leaves that are compared outright.
@@ -62,6 +62,7 @@ def _fingerprints(width: int):
         for batch in batches:
             fps = np.array([fingerprint(t, width) for t in byte_texts(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        release()
 
     return run
 
@@ -241,6 +242,7 @@ def _row_prints(width: int):
             fps = np.array([fingerprint(t, width) for t in texts], np.uint64)
             keys = [hashlib.blake2b(t, digest_size=16).hexdigest() for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string()), pa.array(fps.view(np.int64))], names=["doc_id", "text_key", "fp"])
+        release()
 
     return run
 

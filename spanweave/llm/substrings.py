@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from spanweave.llm.common import materialise, slices, unused, utf8_spans
+from spanweave.llm.common import materialise, release, slices, unused, utf8_spans
 
 #: Words of a window and of an anchor; bytes of text handled at once.
 WINDOW, ANCHOR, BLOCK = 50, 12, 1 << 20
@@ -149,6 +149,7 @@ def _index(window: int, anchor: int):
                 [batch.column(0), pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(n_words, pa.int64()), pa.array(sha, pa.string()), pa.array(found, pa.list_(pa.int64()))],
                 names=["doc_id", "t1", "t2", "n_words", "sha", "anchors"],
             )
+        release()
 
     return run
 
@@ -187,6 +188,7 @@ def _windows(window: int, anchor: int):
                     [pa.repeat(batch.column(0)[r], n), pa.repeat(batch.column(1)[r], n), pa.repeat(batch.column(2)[r], n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(at, pa.int32())],
                     names=["doc_id", "t1", "t2", "h1", "h2", "at"],
                 )
+        release()
 
     return run
 
