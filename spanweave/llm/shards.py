@@ -91,12 +91,12 @@ def ids_per_record(width: int, stride: int = STRIDE) -> int:
     return (stride - HEAD_SIZE - 1) // width
 
 
-def _records(bases, n: int, key: int, width: int, stride: int, per_shard: int):
-    """(shard, slot, record) of each sequence; records packed for the shuffle."""
+def _records(bases, n: int, key: int, width: int, stride: int):
+    """(slot, record) of each sequence; records packed for the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = bases.value.get(TaskContext.get().partitionId(), 0)
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(6, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=1))
         most = ids_per_record(width, stride) * width
         for batch in batches:
             raw, starts, ends = utf8_spans(batch.column(1))
@@ -116,14 +116,14 @@ def _records(bases, n: int, key: int, width: int, stride: int, per_shard: int):
                 press.compress(struct.pack(HEAD, d, s, (y - x) // width, z) + bytes(view[x:y]))
                 for d, s, x, y, z in zip(doc[rows].tolist(), seq.tolist(), a.tolist(), b.tolist(), null[rows].tolist(), strict=True)
             ]
-            yield pa.RecordBatch.from_arrays([pa.array((slots // per_shard).astype(np.int32)), pa.array(slots), pa.array(packed, pa.binary())], names=["shard", "slot", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(packed, pa.binary())], names=["slot", "packed"])
 
     return run
 
 
 def _lines(stride: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
+        unpack = zstandard.ZstdDecompressor(format=zstandard.FORMAT_ZSTD1_MAGICLESS)
         for batch in batches:
             full = [unpack.decompress(x.as_buffer()).ljust(stride - 1, b"\0") for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.binary())], names=["record"])
@@ -167,8 +167,8 @@ def write_shards(ids: DataFrame, path: str, width: int = 1, key: int = 1, stride
     if not n:
         return made
     shards = -(-n // per_shard)
-    records = rows.mapInArrow(_records(spark.sparkContext.broadcast(bases), n, key, width, stride, per_shard), "shard int, slot long, packed binary")
-    placed = records.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot").select("packed").mapInArrow(_lines(stride), "record binary")
+    records = rows.mapInArrow(_records(spark.sparkContext.broadcast(bases), n, key, width, stride), "slot long, packed binary")
+    placed = records.repartitionById(shards, F.floor(F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot").select("packed").mapInArrow(_lines(stride), "record binary")
     placed.select(F.col("record").cast("string").alias("value")).write.option("compression", "none").option("lineSep", "\n").text(path)
     return made
 
