@@ -16,7 +16,6 @@ member has an id.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 from itertools import combinations, repeat
@@ -27,9 +26,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
-from spanweave.llm.common import byte_texts, materialise, release, unused
+from spanweave.llm.common import byte_texts, materialise, release
 from spanweave.llm.components import components
 
 #: Fingerprints of a subtree on average, and leaves that are compared outright.
@@ -224,50 +222,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFra
     return _with_components(prints, budget).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
-def _with_components(prints: DataFrame, budget: int, key: str = "doc_id") -> DataFrame:
-    """prints (fp and a key) with ``least``, the least key of the component."""
-    distinct = materialise(prints.groupBy("fp").agg(F.min(key).alias("own")), "distinct")
+def _with_components(prints: DataFrame, budget: int) -> DataFrame:
+    """prints (fp and doc_id) with ``least``, the least doc_id of the component."""
+    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("own")), "distinct")
     roots = materialise(components(links(distinct.select("fp"), budget)), "roots").select(F.col("node").alias("fp"), "root")
     linked = distinct.join(roots, "fp")
     least = linked.groupBy("root").agg(F.min("own").alias("all"))
     whole = distinct.join(linked.join(least, "root").select("fp", "all"), "fp", "left").select("fp", F.coalesce("all", "own").alias("least"))
     whole = materialise(whole, "groups")  # a table, so that the rows of one fingerprint can be split over tasks
     return prints.join(whole, "fp")
-
-
-def _row_prints(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = byte_texts(batch.column(1))
-            fps = np.array([fingerprint(t, width) for t in texts], np.uint64)
-            keys = [hashlib.blake2b(t, digest_size=16).hexdigest() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string()), pa.array(fps.view(np.int64))], names=["doc_id", "text_key", "fp"])
-        release()
-
-    return run
-
-
-def _text_keys(at: int, name: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [hashlib.blake2b(t, digest_size=16).hexdigest() for t in byte_texts(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.string())], names=[*batch.schema.names, name])
-
-    return run
-
-
-def keep_first(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
-    """The rows of ``docs``, one of each group of near duplicates.
-
-    The row with the least (doc_id, text digest) stays, a null id last; of rows
-    equal in both one stays.
-    """
-    prints = docs.select("doc_id", "text").mapInArrow(_row_prints(width), "doc_id long, text_key string, fp long")
-    last = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    prints = materialise(prints.withColumn("key", last), "fingerprints")
-    kept = _with_components(prints, budget, "key").where(F.col("key") == F.col("least"))
-    key, k_doc, k_text = unused(docs.columns, "_text_key", "_k_doc", "_k_text")
-    kept = kept.select(F.col("doc_id").alias(k_doc), F.col("text_key").alias(k_text)).distinct()
-    keyed = docs.mapInArrow(_text_keys(docs.columns.index("text"), key), StructType([*docs.schema.fields, StructField(key, StringType())]))
-    on = F.col("doc_id").eqNullSafe(F.col(k_doc)) & (F.col(key) == F.col(k_text))
-    return keyed.join(kept, on, "left_semi").dropDuplicates(["doc_id", key]).select(*docs.columns)
