@@ -1,12 +1,11 @@
-"""Duplicate word spans by relative Lempel-Ziv factors.
+"""Duplicate word spans by a hash join of word windows.
 
 The reference of a document is every document with a smaller id.  It is
-indexed in blocks by content: the word windows of a block share an anchor, the
-least hash among the short word runs of the window, so equal windows always
-meet in one block.  Parsing a document is greedy: from a position whose window
-is in the index the factor runs on as long as the window one word further is
-in the index too, which is the test at each factor's boundary; factors shorter
-than a window are literals.  The words of the factors are the duplicate spans.
+indexed by content: the word windows of a block share an anchor, the least hash
+among the short word runs of the window, so equal windows always meet in one
+block.  A window that a smaller id has too is a duplicate, and the words of
+all such windows are the duplicate spans.  Texts are not parsed into relative
+Lempel-Ziv factors.
 
 What moves is small: first one hash for each anchor (about one for 20 words),
 then, only where an anchor occurs in two different texts, the 128-bit hashes of
