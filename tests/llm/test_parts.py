@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,16 +14,41 @@ from spanweave.llm.bpe import decode, encode, encoder
 from spanweave.llm.components import components
 
 
-@given(st.text(max_size=80))
-@settings(max_examples=300, deadline=None)
-def test_bpe_any_text(text):
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _same_ids(texts: list[str]) -> None:
     from tokenizers import Tokenizer
 
-    t = _library(Tokenizer)
-    joined, ids = encoder(public_tokenizers.path("byte_bpe_50k.json")).encode(text)
-    assert ids.tolist() == t.encode(text, add_special_tokens=False).ids
-    assert joined == ",".join(map(str, ids.tolist()))
-    assert encoder(public_tokenizers.path("byte_bpe_50k.json")).decode(ids) == text.encode()
+    got: list[list[int]] = [[] for _ in texts]
+    for r, _, _, ids in encoder(BYTE_BPE).encode_batch(pa.array(texts, pa.string())):
+        got[r] += ids.tolist()
+    want = [x.ids for x in _library(Tokenizer).encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, g, w in zip(texts, got, want, strict=True) if g != w] == []
+
+
+@given(st.lists(st.text(max_size=80) | st.text(alphabet="'strevlmd \n\t\u3000é1!", max_size=30), max_size=5))
+@settings(max_examples=300, deadline=None)
+def test_bpe_any_text(texts):
+    _same_ids(texts)
+    for text in texts:
+        assert encoder(BYTE_BPE).decode(encoder(BYTE_BPE).encode(text)) == text.encode()
+
+
+def test_bpe_every_code_point():
+    """Letters, numbers and blanks are those of the library."""
+    for low in range(0, 0x110000, 1 << 16):
+        some = [chr(c) for c in range(low, low + (1 << 16)) if not 0xD800 <= c < 0xE000]
+        _same_ids([f"a{c}'s{c}b 1{c}2 {c}" for c in some])
+
+
+def test_bpe_pieces(monkeypatch):
+    """Long texts are cut where no token crosses."""
+    from spanweave.llm import bpe
+
+    monkeypatch.setattr(bpe, "BLOCK", 40)
+    words = ["the", "x" * 90, "don't", "\u3000", "", "\n", "<|endoftext|>", "12\u00a0", "é's", "end"]
+    _same_ids([" ".join(words) * 5, "", "<|endoftext|>" * 9, "ab" * 200, "a " * 100, *words])
 
 
 _cache = {}
@@ -30,7 +56,7 @@ _cache = {}
 
 def _library(kind):
     if kind not in _cache:
-        _cache[kind] = kind.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        _cache[kind] = kind.from_file(BYTE_BPE)
     return _cache[kind]
 
 
