@@ -1,38 +1,52 @@
 """Token counts through a compiled finite-state tokenizer.
 
-The merge tokenizer of a sentencepiece BPE model is compiled, state by state
-as texts ask for them, into a deterministic transducer over characters.  A
-state is the last-token window of a prefix; a transition carries the number of
-tokens by which the count of the prefix changes, so a walk needs no merge
-queue.  The last token of a longer prefix is the one vocabulary suffix whose
-pair with the token before it survives merging.
-
-Where two neighbouring characters stand together in no piece, no merge crosses,
-so the machine starts afresh there; a run between two such borders is a segment,
-and what it adds does not depend on what is around it.  No piece has the word
-mark after another character, so every mark is such a border.  The map of a chunk of text is therefore small: what it needs from
-the chunk before (its head up to the first mark), the tokens in between, and
-the open word it leaves (its tail).  Maps compose associatively and a
-balanced scan joins the chunks of a text.
-
-A null text counts as empty: 0 bytes, 0 tokens.
+The merge tokenizer of a sentencepiece BPE model is compiled, transition by
+transition as texts ask for them, into a deterministic transducer over
+characters.  A state is the last-token window of a prefix; a transition carries
+the number of tokens by which the count of the prefix changes, so a walk needs
+no merge queue.  The last token of a longer prefix is the one vocabulary suffix
+whose pair with the token before it survives merging.  Where two neighbouring
+characters stand together in no piece no merge crosses, and the machine is in
+its start state again; so it is before every word mark that follows another
+character.  The words of a block of texts walk the machine side by side, as
+numpy arrays over one table of transitions.
+
+A text longer than LONG is cut into chunks, rows of a table that is dealt out
+over tasks.  The state map of a chunk gives exit state and count for each state
+it can be entered in: those that the characters before it lead to from a fresh
+start at each of the last places (as many as a piece is long).  Maps compose
+associatively, in a tree: blocks of FAN chunks, then the text.  Should a text
+enter a chunk in a state that its map lacks, the text is walked whole instead,
+which is exact as well.
+
+Defined cases: a null text counts as empty (0 bytes, 0 tokens, not over the
+limit); repeated rows each get a row; an empty table gives an empty table;
+columns other than doc_id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from spanweave.llm.common import TwoGenerations, release, utf8_spans
+from spanweave.llm.common import materialise, release, slices, utf8_spans
 
 MARK = "▁"
-#: Characters of a chunk; states, pairs, words and segments that a worker remembers.
-CHUNK, STATES, PAIRS, MEMO, SEGMENTS = 1 << 16, 90_000, 200_000, 100_000, 200_000
+#: Bytes of text walked at once; states (about) and pairs that a worker keeps.
+BLOCK, STATES, PAIRS = 1 << 20, 200_000, 400_000
+#: Bytes of a text above which its chunks are rows of their own; characters of
+#: a chunk and of what a chunk sees of the text before it; chunks of a block.
+LONG, CHUNK, BEFORE, FAN = 4 << 20, 1 << 18, 256, 64
+#: Words that walk side by side at least, and their characters at most.
+FEW, WIDE = 16, 4096
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -98,11 +112,10 @@ class Transducer:
         self.made: dict[str, tuple[str, str] | None] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.tails: dict[str, tuple] = {}
+        self.reach = max(map(len, self.score))
         self._reset()
-        self.memo = TwoGenerations(self._word, MEMO)
-        self.segments = TwoGenerations(self.walk, SEGMENTS)
 
-    # merging itself: how tokens are made, and runs of marks
+    # merging itself: how tokens are made
 
     def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """The merge queue, best score first, then the left one; and the two
@@ -176,7 +189,11 @@ class Transducer:
         start = ("", (("", 0),))
         self.ids: dict[tuple, int] = {start: 0}
         self.states: list[tuple] = [start]
-        self.go: list[dict[str, tuple[int, int]]] = [{}]
+        self.steps: dict[int, int] = {}  # state and character: next state and tokens added
+        self.tails.clear()
+        self.keys = np.full(1 << 18, -1, np.int64)  # the same, for many at once
+        self.values = np.zeros(1 << 18, np.int64)
+        self.held = 0
 
     def _tail(self, tail: str) -> tuple[str, int, tuple[bool, ...], tuple[tuple[int, str, int], ...]]:
         """What a step needs of the end of a prefix: its longest end that
@@ -193,130 +210,192 @@ class Transducer:
             rest = rest[1:]
         return rest, len(tail) - len(rest), tuple(rest[i:] in self.starts for i in range(len(rest))), tuple(ends)
 
-    def _step(self, state: int, c: str) -> tuple[int, int]:
+    def _compile(self, state: int, c: str) -> tuple[int, int]:
         """(next state, tokens added) of a transition met for the first time."""
         if c not in self.known:  # byte fallback: one token a byte, and a fresh start
-            out = self.go[state][c] = (0, len(c.encode()))
-            return out
+            return 0, len(c.encode())
         tail, window = self.states[state]
+        if tail and tail[-1] + c not in self.together:  # no merge crosses
+            tail, window = self.states[0]
         tail += c
         made = self.tails.get(tail)
         if made is None:
             made = self.tails[tail] = self._tail(tail)
         rest, gone, place, ends = made
-        pairs = self.pairs
         for n, token, add in ends:
             before, count = window[-n]
-            if before:
-                stands = pairs.get((before, token))
-                if stands is None:
-                    stands = self._stands(before, token)
-                if not stands:
-                    continue
+            if before and not self._stands(before, token):
+                continue
             count += add
             break
         else:
             raise AssertionError(f"no token ends {tail!r}")
+        if not rest:
+            return 0, count
         # a later piece can only begin where the end of the prefix starts one
         window = (*[(w[0], w[1] - count) if ok and w else None for ok, w in zip(place, window[gone:])], (token, 0))  # noqa: B905
-        key = (rest, window)
-        to = self.ids.get(key)
-        if to is None:
-            to = self.ids[key] = len(self.states)
-            self.states.append(key)
-            self.go.append({})
-        out = self.go[state][c] = (to, count)
+        to = self.ids.setdefault((rest, window), len(self.states))
+        if to == len(self.states):
+            self.states.append((rest, window))
+        return to, count
+
+    def step(self, key: int) -> int:
+        """A transition by its key, state << 21 | character: next state << 8 |
+        tokens added + 128."""
+        value = self.steps.get(key)
+        if value is None:
+            to, count = self._compile(key >> 21, chr(key & 0x1FFFFF))
+            value = self.steps[key] = to << 8 | count + 128
+        return value
+
+    def _places(self, key: np.ndarray) -> np.ndarray:
+        x = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (x >> np.uint64(65 - len(self.keys).bit_length())).astype(np.int64)
+
+    def _keep(self, key: np.ndarray, value: np.ndarray) -> None:
+        """Put distinct new keys into the table, each at the next free place;
+        the table stays half empty."""
+        self.held += len(key)
+        if 2 * self.held > len(self.keys):
+            old = self.keys != -1
+            key, value = np.concatenate([self.keys[old], key]), np.concatenate([self.values[old], value])
+            size = 1 << (4 * self.held).bit_length()
+            self.keys, self.values = np.full(size, -1, np.int64), np.zeros(size, np.int64)
+        at, most = self._places(key), len(self.keys) - 1
+        while len(key):
+            free = np.flatnonzero(self.keys[at] == -1)
+            _, first = np.unique(at[free], return_index=True)
+            put = free[first]
+            self.keys[at[put]], self.values[at[put]] = key[put], value[put]
+            left = np.ones(len(key), bool)
+            left[put] = False
+            key, value, at = key[left], value[left], at[left] + 1 & most
+
+    def look(self, key: np.ndarray) -> np.ndarray:
+        """Many transitions at once."""
+        at, most = self._places(key), len(self.keys) - 1
+        out, there = self.values[at], self.keys[at]
+        miss = np.flatnonzero(there != key)
+        new = []
+        while len(miss):
+            none = there[miss] == -1
+            new.append(miss[none])
+            miss = miss[~none]
+            at[miss] = at[miss] + 1 & most
+            there[miss] = self.keys[at[miss]]
+            hit = there[miss] == key[miss]
+            out[miss[hit]] = self.values[at[miss[hit]]]
+            miss = miss[~hit]
+        if new and len(rows := np.concatenate(new)):
+            asked, back = np.unique(key[rows], return_inverse=True)
+            found = np.array([self.step(k) for k in asked.tolist()], np.int64)
+            out[rows] = found[back]
+            self._keep(asked, found)
         return out
 
-    def walk(self, text: str) -> int:
-        """Tokens of a word: marks only in front, at most one."""
-        if len(self.states) > STATES:
-            self._reset()
-        go, state, total = self.go, 0, 0
-        for c in text:
-            step = go[state].get(c)
-            if step is None:
-                step = self._step(state, c)
-            state = step[0]
-            total += step[1]
+    def walk(self, text: str, state: int = 0) -> tuple[int, int]:
+        """(exit state, tokens added) of a text entered in a state."""
+        total, steps = 0, self.steps
+        for c in map(ord, text):
+            value = steps.get(state << 21 | c)
+            if value is None:
+                value = self.step(state << 21 | c)
+            state = value >> 8
+            total += (value & 255) - 128
+        return state, total
+
+    def words(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Tokens of words that each begin in the start state."""
+        total = np.zeros(len(starts), np.int64)
+        size = np.minimum(ends - starts, WIDE + 1).astype(np.uint16)
+        order = np.argsort(np.uint16(WIDE + 1) - size, kind="stable")  # the longest first
+        n_wide = int((size > WIDE).sum())
+        for w in order[:n_wide].tolist():
+            total[w] = self.walk(points[starts[w] : ends[w]].astype("<u4").tobytes().decode("utf-32-le"))[1]
+        order = order[n_wide:]
+        active = len(order) - np.cumsum(np.bincount(size[order], minlength=1))  # words longer than t
+        at, state, count = starts[order], np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        for t, n in enumerate(active.tolist()):
+            if n < FEW:
+                for w in range(n):
+                    text = points[at[w] + t : ends[order[w]]].astype("<u4").tobytes().decode("utf-32-le")
+                    count[w] += self.walk(text, int(state[w]))[1]
+                break
+            value = self.look(state[:n] << 21 | points[at[:n] + t])
+            state[:n] = value >> 8
+            count[:n] += (value & 255) - 128
+        total[order] = count
         return total
 
-    def _word(self, rest: str) -> int:
-        """Tokens of a mark and the characters that follow it."""
-        if rest.startswith(MARK):
-            body = rest.lstrip(MARK)
-            return self._merged(MARK * (1 + len(rest) - len(body)) + body)
-        word, together = MARK + rest, self.together
-        cuts = [i for i, pair in enumerate(map(str.__add__, word, rest), 1) if pair not in together]
-        if not cuts:
-            return self.segments[word]
-        return sum([self.segments[word[a:b]] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)])
-
-    def _merged(self, text: str) -> int:
-        return sum(1 if s in self.score else len(s.encode()) for s in self.merge(text)[0])
-
-    # chunk maps
+    def count_block(self, texts: list[str]) -> np.ndarray:
+        """Tokens of each text."""
+        if len(self.states) > STATES:
+            self._reset()
+        out = np.zeros(len(texts), np.int64)
+        full = [i for i, t in enumerate(texts) if t]
+        if not full:
+            return out
+        marked = [MARK + texts[i].replace(" ", MARK) for i in full]
+        points = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.int64)
+        first = np.cumsum([0, *map(len, marked[:-1])])
+        mark = points == ord(MARK)
+        begins = mark.copy()
+        begins[1:] &= ~mark[:-1]
+        begins[first] = True
+        starts = np.flatnonzero(begins)
+        counts = self.words(points, starts, np.append(starts[1:], len(points)))
+        out[full] = np.add.reduceat(counts, np.searchsorted(starts, first))
+        return out
 
-    def chunk(self, text: str) -> tuple[str, int, str] | str:
-        """The map of a chunk: its text where no mark is in it, or else
-        (head, tokens, tail).  A tail starts with its marks."""
-        first = text.find(MARK)
-        if first < 0:
-            return text
-        body, last = text[first:], text.rfind(MARK)
-        while last > first and text[last - 1] == MARK:
-            last -= 1
-        head, tail = text[:first], text[last:]
-        return head, self._closed(text[first:last]), tail
-
-    def _closed(self, text: str) -> int:
-        """Tokens of whole words, the first mark first."""
-        if not text:
-            return 0
-        if MARK + MARK in text:
-            words = [w[1:] for w in _WORDS.findall(text)]
-        else:
-            words = text[1:].split(MARK)
-        return sum(map(self.memo.__getitem__, words))
-
-    def join(self, a, b):
-        """Composition of two neighbouring maps."""
-        if isinstance(a, str):
-            if isinstance(b, str):
-                return a + b
-            return a + b[0], b[1], b[2]
-        if isinstance(b, str):
-            return a[0], a[1], a[2] + b
-        # a cut is never inside a run of marks, so the word that was open ends here
-        return a[0], a[1] + self._closed(a[2] + b[0]) + b[1], b[2]
-
-    def count(self, text: str) -> int:
+    def count(self, text: str | None) -> int:
         """Tokens of a whole text."""
-        if not text:
-            return 0
-        text = MARK + text.replace(" ", MARK)
-        if len(text) <= CHUNK:
-            maps = [self.chunk(text)]
-        else:
-            maps = [self.chunk(text[a:b]) for a, b in _cuts(text)]
-        while len(maps) > 1:  # a balanced scan
-            maps = [self.join(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, tokens, tail = maps[0] if not isinstance(maps[0], str) else ("", 0, maps[0])
-        return tokens + self._closed(tail)
+        return int(self.count_block([text or ""])[0])
 
+    # chunk maps
 
-_WORDS = re.compile(f"{MARK}+[^{MARK}]*")
-
+    def name(self, state: int) -> str:
+        """A state's name, the same in every worker."""
+        return json.dumps(self.states[state], ensure_ascii=False, separators=(",", ":"))
 
-def _cuts(text: str) -> Iterator[tuple[int, int]]:
-    """Chunk ranges; no cut is inside a run of marks."""
-    at, n = 0, len(text)
-    while at < n:
-        end = min(at + CHUNK, n)
-        while end < n and text[end] == MARK and text[end - 1] == MARK:
-            end += 1
-        yield at, end
-        at = end
+    def chunk_map(self, before: str, text: str) -> dict[str, tuple[str, int]]:
+        """The state map of a chunk: exit state and tokens of each state that
+        it may be entered in.  ``before`` is the end of what comes before it;
+        where that is empty the text starts here."""
+        if len(self.states) > STATES:
+            self._reset()
+        entries = {self.walk(before[k:])[0] for k in range(min(self.reach, len(before) or 1))}
+        # walks that meet go on as one: (state, tokens, entries with their own tokens)
+        walks = [(e, 0, {e: 0}) for e in sorted(entries)]
+        for i in range(0, len(text), 64):
+            met: dict[int, tuple[int, int, dict[int, int]]] = {}
+            for state, n, of in walks:
+                state, more = self.walk(text[i : i + 64], state)
+                n += more
+                if state in met:
+                    _, m, all_ = met[state]
+                    all_.update({e: x + n - m for e, x in of.items()})
+                else:
+                    met[state] = (state, n, of)
+            walks = list(met.values())
+            if len(walks) == 1:
+                state, n, of = walks[0]
+                state, more = self.walk(text[i + 64 :], state)
+                walks = [(state, n + more, of)]
+                break
+        return {self.name(e): (self.name(state), n + x) for state, n, of in walks for e, x in of.items()}
+
+
+def compose(a: dict[str, tuple[str, int]], b: dict[str, tuple[str, int]]) -> dict[str, tuple[str, int]]:
+    """The map of two neighbouring stretches; without the states that lead to
+    one that the second map lacks."""
+    return {e: (b[x][0], n + b[x][1]) for e, (x, n) in a.items() if x in b}
+
+
+def composed(maps: list[dict[str, tuple[str, int]]]) -> dict[str, tuple[str, int]]:
+    """The map of neighbouring stretches, joined pair by pair."""
+    while len(maps) > 1:
+        maps = [compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    return maps[0]
 
 
 @lru_cache(maxsize=2)
@@ -330,19 +409,79 @@ def _counts(path: str, limit: int):
         for batch in batches:
             raw, starts, ends = utf8_spans(batch.column(1))
             view = memoryview(raw)
-            n = [machine.count(str(view[a:b], "utf-8")) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ends - starts, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
-                names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
-            )
+            n = np.zeros(batch.num_rows, np.int64)
+            for i, j in slices(starts, ends, BLOCK):
+                n[i:j] = machine.count_block([str(view[a:b], "utf-8") for a, b in zip(starts[i:j].tolist(), ends[i:j].tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ends - starts, pa.int64()), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        release()
+
+    return run
+
+
+def _chunks(size: int, before: int):
+    """row, chunk, before, text of each chunk of long texts, word marks set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                text = MARK + batch.column(1)[r].as_py().replace(" ", MARK)
+                for k, at in enumerate(range(0, len(text), size)):
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(r, 1), pa.array([k], pa.int64()), pa.array([text[max(0, at - before) : at]]), pa.array([text[at : at + size]])], names=["row", "chunk", "before", "text"]
+                    )
+
+    return run
+
+
+_MAP = "map<string,struct<exit:string,n:bigint>>"
+
+
+def _maps(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = transducer(path)
+        kind = pa.map_(pa.string(), pa.struct([("exit", pa.string()), ("n", pa.int64())]))
+        for batch in batches:
+            made = [machine.chunk_map(b.as_py(), t.as_py()) for b, t in zip(batch.column(2), batch.column(3), strict=True)]
+            made = [[(e, {"exit": x, "n": n}) for e, (x, n) in m.items()] for m in made]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, kind)], names=["row", "chunk", "states"])
         release()
 
     return run
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
+def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row for some neighbouring chunks of a text: their composed map."""
+    pdf = pdf.sort_values("chunk")
+    maps = [{e: (v["exit"], v["n"]) for e, v in (m.items() if isinstance(m, dict) else m)} for m in pdf["states"]]
+    out = {e: {"exit": x, "n": n} for e, (x, n) in composed(maps).items()}
+    return pd.DataFrame({"row": pdf["row"].iloc[:1].to_numpy(), "chunk": pdf["chunk"].iloc[:1].to_numpy(), "states": [out]})
+
+
+def count_long(docs: DataFrame, path: str, limit: int, chunk: int = CHUNK, before: int = BEFORE) -> DataFrame:
+    """The counts of long texts, their chunks dealt out over tasks."""
+    size = F.octet_length("text").cast("long")
+    rows = materialise(docs.withColumn("row", F.monotonically_increasing_id()), "long")
+    chunks = rows.select("row", "text").mapInArrow(_chunks(chunk, before), "row long, chunk long, before string, text string")
+    maps = chunks.repartition("row", "chunk").mapInArrow(_maps(path), f"row long, chunk long, states {_MAP}")
+    for fan in (FAN, 1 << 40):
+        maps = maps.groupBy("row", F.floor(F.col("chunk") / fan)).applyInPandas(_joined, f"row long, chunk long, states {_MAP}")
+    start = transducer(path).name(0)
+    total = materialise(maps.select("row", F.try_element_at("states", F.lit(start))["n"].alias("n_tokens")), "totals")
+    n = F.col("n_tokens")
+    done = rows.join(total.where(n.isNotNull()), "row").select("doc_id", size.alias("n_bytes"), n, (n > limit).alias("over_limit"))
+    whole = rows.join(total.where(n.isNull()), "row").select("doc_id", "text")
+    return done.unionByName(whole.mapInArrow(_counts(path, limit), COUNTS))
+
+
+COUNTS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+
+
+def count_tokens(docs: DataFrame, path: str, limit: int = 4096, long: int = LONG, **cut) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every whole text.
 
     One row per input row; a null text has 0 bytes and 0 tokens.
     """
-    return docs.select("doc_id", "text").mapInArrow(_counts(path, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    is_long = F.coalesce(F.octet_length("text") > long, F.lit(False))
+    short = docs.where(~is_long).mapInArrow(_counts(path, limit), COUNTS)
+    return short.unionByName(count_long(docs.where(is_long), path, limit, **cut))

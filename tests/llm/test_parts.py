@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -72,13 +74,36 @@ def test_counts_any_text(text):
     assert machine.count(text) == len(_cache[key].encode(text))
 
 
-def test_chunk_maps_compose(monkeypatch):
+LONG_TEXTS = ["the quick  brown fox▁▁jumps over " * 40 + "x" * 300 + " end  ", " " * 1000, "-" * 700 + "=" * 500, "x" * 2000, "é中x" * 300]
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 1000])
+def test_chunk_maps_compose(size):
     machine = counts.transducer(public_tokenizers.path("piece_bpe_32k.model"))
-    text = "the quick  brown fox▁▁jumps over " * 40 + "x" * 300 + " end  "
-    want = machine.count(text)
-    for size in (1, 7, 64, 1000):
-        monkeypatch.setattr(counts, "CHUNK", size)
-        assert machine.count(text) == want
+    for text in LONG_TEXTS:
+        marked = counts.MARK + text.replace(" ", counts.MARK)
+        maps = [machine.chunk_map(marked[max(0, i - counts.BEFORE) : i], marked[i : i + size]) for i in range(0, len(marked), size)]
+        assert counts.composed(maps)[machine.name(0)][1] == machine.count(text) == machine.walk(marked)[1]
+
+
+def test_compose_lacks_a_state():
+    a, b = {"s": ("t", 2), "u": ("v", 3)}, {"t": ("w", 5)}
+    assert counts.compose(a, b) == {"s": ("w", 7)}
+    assert counts.compose(b, a) == {}
+
+
+def test_long_texts_as_chunk_rows(spark):
+    """Texts above the length are counted by several tasks, with the same result."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rows = [(i, t) for i, t in enumerate([*LONG_TEXTS, "short", "", None])] + [(None, LONG_TEXTS[0]), (0, LONG_TEXTS[0])]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = Counter(map(tuple, counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), 400, long=50, chunk=100).collect()))
+    want = Counter((d, len((t or "").encode()), n := len(sp.encode(t or "")), n > 400) for d, t in rows)
+    assert got == want
+    # maps that lack the state a text enters a chunk in: the text is walked whole
+    assert Counter(map(tuple, counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), 400, long=50, chunk=100, before=0).collect())) == want
 
 
 @given(st.binary(min_size=64, max_size=640), st.integers(0, 4))
