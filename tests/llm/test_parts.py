@@ -10,10 +10,12 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from spanweave.llm import counts, media, shards, simhash, substrings
 from spanweave.llm.bpe import decode, encode, encoder
 from spanweave.llm.components import components
+from tests.llm import brute
 
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -172,8 +174,58 @@ def test_components_star_and_path(spark):
     assert all(got[i] == 0 for i in range(300)) and all(got[1000 + i] == 1000 for i in range(201)) and got[2001] == 2000
 
 
-def test_removed_words():
-    assert substrings.removed_words(np.array([2, 3]), 3, 8).tolist() == [False, False, True, True, True, True, False, False]
+def test_factors():
+    start, words, ref, place = substrings.factors(np.array([2, 3, 4, 9, 10]), np.array([7, 7, 5, 5, 5]), np.array([0, 1, 2, 20, 21]), 3)
+    assert (start.tolist(), words.tolist(), ref.tolist(), place.tolist()) == ([2, 4, 9], [4, 3, 4], [7, 5, 5], [0, 2, 20])
+    assert np.flatnonzero(substrings.covered(start, words, 14)).tolist() == [2, 3, 4, 5, 6, 9, 10, 11, 12]
+
+
+@given(st.lists(st.integers(0, 3), max_size=60), st.integers(1, 50))
+@settings(max_examples=100, deadline=None)
+def test_window_hashes(values, width):
+    """Equal windows and only those have equal hashes."""
+    words = np.array(values, np.uint64)
+    got = substrings.window_hashes(words, width).tolist()
+    want = [tuple(values[i : i + width]) for i in range(len(values) - width + 1)]
+    assert len(got) == len(want)
+    assert len(set(zip(got, want, strict=True))) == len(set(want)) == len(set(got))
+
+
+def _thue_morse(k: int) -> str:
+    s = "a"
+    for _ in range(k):
+        s += s.translate({97: 98, 98: 97})
+    return s
+
+
+def _spans_of(spark, rows):
+    got = substrings.dedup_digests(spark.createDataFrame(rows, "doc_id long, text string"), window=50)
+    return Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect())
+
+
+def test_substrings_of_words_made_to_collide(spark):
+    """Polynomial hashes modulo a power of two are equal for such words."""
+    word = _thue_morse(10)
+    other = word.translate({97: 98, 98: 97})
+    rest = " ".join(f"w{i}" for i in range(49))
+    rows = [(1, f"{word} {rest}"), (2, f"{other} {rest}"), (3, f"{word} {rest}")]
+    assert _spans_of(spark, rows) == Counter(brute.spans(rows))
+
+
+def test_factors_are_checked_against_words(spark, monkeypatch):
+    """Hashes that collide for the first seeds: the result is still right."""
+    honest = substrings._parsed
+
+    def weak(texts, window, anchor, seed):
+        if seed == 0:  # as if every shared window were the first of row 0
+            made = honest(texts, window, anchor, seed)
+            return made.withColumn("factors", F.transform("factors", lambda f: f.withField("place", f["place"] + 1)))
+        return honest(texts, window, anchor, seed)
+
+    monkeypatch.setattr(substrings, "_parsed", weak)
+    passage = " ".join(f"p{i}" for i in range(70))
+    rows = [(1, "a " + passage), (2, passage + " b"), (3, "c d " + passage), (4, None), (5, "e " * 120), (6, "e " * 90)]
+    assert _spans_of(spark, rows) == Counter(brute.spans(rows))
 
 
 def test_encode_decode_frames(spark):
