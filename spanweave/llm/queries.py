@@ -80,20 +80,20 @@ WITH split AS (
 ), least AS (
     SELECT k, min(doc_id) AS low FROM windows GROUP BY k
 ), gone AS (
-    SELECT doc_id, i + j AS at
+    SELECT doc_id, i + j AS place
     FROM windows JOIN least USING (k), unnest(range(0, 50)) AS t(j)
     WHERE low < doc_id
     GROUP BY doc_id, i + j
 ), lists AS (
-    SELECT doc_id, list(at) AS at FROM gone GROUP BY doc_id
+    SELECT doc_id, list(place) AS places FROM gone GROUP BY doc_id
 ), words AS (
     SELECT doc_id, i, w[i] AS word FROM split, unnest(range(1, len(w) + 1)) AS t(i)
 ), kept AS (
     SELECT words.doc_id, string_agg(word, ' ' ORDER BY i) AS text
-    FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.at = words.i
-    WHERE gone.at IS NULL GROUP BY words.doc_id
+    FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.place = words.i
+    WHERE gone.place IS NULL GROUP BY words.doc_id
 )
-SELECT split.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(lists.at), 0) AS BIGINT) AS n_removed,
+SELECT split.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(lists.places), 0) AS BIGINT) AS n_removed,
        sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM split LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
