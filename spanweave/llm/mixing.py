@@ -10,9 +10,14 @@ reduction tree, so a source ends within one document of its target.
 
 DataFrame functions only.  A source that holds most rows is many chunks.
 
+Rows that nothing tells apart are handled as one entry, but each has its own
+copies: of m such rows the whole part of m times the fraction take one copy
+more for sure, and one row enters the pairing with the fraction that is left.
+
 Defined cases: a null or blank text has size 0 and takes 0 words; a null source
-is a source of its own, the last in order; rows with equal doc_id, source and
-size share one decision; all randomness is a hash of ids, so reruns agree.
+is a source of its own, the last in order; null ids are ids like any other; all
+randomness is a hash of ids, so reruns agree; an empty table gives an empty
+table; columns of any other name are kept and do not clash.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 from pyspark.sql.window import Window
 
 from spanweave.llm.common import materialise, unused
@@ -119,21 +125,25 @@ def _pair(seed: int):
 def decisions(rows: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, seed: int = 8) -> DataFrame:
     """Decide how often each document is taken.
 
-    rows: doc_id, source, size.  Result: doc_id, source, size, times (how many
-    input rows are equal), source_size, target, copies; one row per distinct
-    (doc_id, source, size).
+    rows: doc_id, source, size and more columns that tell rows apart.  Result:
+    these columns, times (how many input rows are equal), source_size, target,
+    whole, more; one row per distinct input row.  ``more`` of the equal rows
+    are taken whole + 1 times, the others whole times.
     """
-    rows = materialise(rows.select("doc_id", "source", "size"), "sizes")
+    own = rows.columns
+    rows = materialise(rows, "sizes")
     sources, n_sources = source_targets(rows, weights, share, cap)
-    units = _by_source(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("times")), sources, n_sources)
+    units = _by_source(rows.groupBy(*own).agg(F.count("*").alias("times")), sources, n_sources)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    units = units.withColumn("_ratio", ratio).withColumn("_whole", F.floor("_ratio")).withColumn("_p", F.col("_ratio") - F.col("_whole"))
+    units = units.withColumn("_ratio", ratio).withColumn("whole", F.floor("_ratio"))
+    units = units.withColumn("_mass", F.col("times") * (F.col("_ratio") - F.col("whole")))
+    units = units.withColumn("_sure", F.floor("_mass")).withColumn("_p", F.col("_mass") - F.col("_sure"))
     chunks = F.greatest(F.ceil(F.col("n_units") / CHUNK), F.lit(1)).cast("long")
-    units = units.withColumn("_chunk", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), chunks))
-    units = materialise(units.drop("n_units", "_ratio"), "units")
+    units = units.withColumn("_chunk", F.pmod(F.xxhash64(F.lit(seed), *own), chunks))
+    units = materialise(units.drop("n_units", "_ratio", "_mass"), "units")
     open_ = (F.col("_p") > 0) & (F.col("size") > 0)
-    key = F.struct("doc_id", "source", "size", "times", "source_size", "target", "_whole")
-    level = units.where(open_).select("source", F.col("_chunk").alias("chunk"), F.struct(key.alias("key"), (F.col("size") * F.col("times")).cast("double").alias("w"), F.col("_p").alias("p")).alias("unit"))
+    key = F.struct(*own, "times", "source_size", "target", "whole", "_sure")
+    level = units.where(open_).select("source", F.col("_chunk").alias("chunk"), F.struct(key.alias("key"), F.col("size").cast("double").alias("w"), F.col("_p").alias("p")).alias("unit"))
     parts = [units.where(~open_).select(key.alias("key"), F.lit(0).alias("up"))]
     last = (units.agg(F.max("_chunk")).first()[0] or 0) + 1
     n = seed
@@ -152,27 +162,38 @@ def decisions(rows: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), sha
     out = rest
     for p in parts:
         out = out.unionByName(p)
-    return out.select("key.doc_id", "key.source", "key.size", "key.times", "key.source_size", "key.target", (F.col("key._whole") + F.col("up")).cast("long").alias("copies"))
+    own += ["times", "source_size", "target", "whole"]
+    return out.select(*[F.col(f"key.{c}").alias(c) for c in own], (F.col("key._sure") + F.col("up")).cast("long").alias("more"))
+
+
+def _numbered(rows: DataFrame, times: Column, block: str, number: str) -> DataFrame:
+    """Each row ``times`` times with a number from 1: blocks of up to 1024
+    numbers, those of a row with many blocks dealt out over tasks."""
+    rows = rows.withColumn(block, F.explode(F.sequence(F.lit(0), F.floor((times - 1) / 1024))))
+    rows = rows.where(times <= 1024).unionByName(rows.where(times > 1024).repartition(F.col(block)))
+    return rows.withColumn(number, F.explode(F.sequence(F.col(block) * 1024 + 1, F.least(times, F.col(block) * 1024 + 1024))))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """doc_id, size, source_size, target, taken: one row per input row."""
-    made = decisions(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), **how)
-    # equal rows again, in two steps so that no array is long
-    made = made.withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor((F.col("times") - 1) / 1024))))
-    made = made.withColumn("_i", F.explode(F.sequence(F.lit(1), F.least(F.lit(1024), F.col("times") - F.col("_k") * 1024).cast("int"))))
-    return made.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    made = decisions(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size")), **how)
+    made = _numbered(materialise(made, "mix"), F.col("times"), "_block", "_i")
+    copies = F.col("whole") + (F.col("_i") <= F.col("more")).cast("long")
+    return made.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them; a document of size
     0 carries no words and stays once."""
     size = word_count(F.col("text"))
-    made = materialise(decisions(docs.select("doc_id", "source", size.alias("size")), **how).select("doc_id", "source", "size", "copies"), "copies")
-    names = unused(docs.columns, "_m_doc", "_m_source", "_m_size", "_m_copies", "_m_times", "_m_i")
-    made = made.toDF(*names[:4])
-    m_doc, m_source, m_size, m_copies, m_times = map(F.col, names[:5])
-    on = F.col("doc_id").eqNullSafe(m_doc) & F.col("source").eqNullSafe(m_source) & (size == m_size)
-    times = F.when(m_size == 0, 1).otherwise(m_copies).cast("int")
-    joined = docs.join(made, on).withColumn(names[4], times).where(m_times > 0)
-    return joined.withColumn(names[5], F.explode(F.sequence(F.lit(1), m_times))).select(*docs.columns)
+    k1, k2, m_n, m_one, m_block, m_i, m_row = unused(docs.columns, "_m_k1", "_m_k2", "_m_n", "_m_one", "_m_block", "_m_i", "_m_row")
+    # a 128-bit key of all columns: rows of one key are equal
+    cols = [F.to_json(f.name) if isinstance(f.dataType, MapType) else F.col(f.name) for f in docs.schema.fields]
+    keyed = docs.withColumn(k1, F.xxhash64(F.lit(1), *cols)).withColumn(k2, F.xxhash64(F.lit(2), *reversed(cols)))
+    made = decisions(keyed.select("doc_id", "source", size.alias("size"), F.col(k1).alias("k1"), F.col(k2).alias("k2")), **how)
+    total = F.when(F.col("size") == 0, F.col("times")).otherwise(F.col("times") * F.col("whole") + F.col("more"))
+    made = materialise(made.select(F.col("k1").alias(k1), F.col("k2").alias(k2), total.alias(m_n), (F.col("times") == 1).alias(m_one)).where(F.col(m_n) > 0), "copies")
+    joined = keyed.join(made, [k1, k2])
+    alone = joined.where(F.col(m_one)).withColumn(m_i, F.explode(F.sequence(F.lit(1), F.col(m_n)))).select(*docs.columns)
+    equal = joined.where(~F.col(m_one)).groupBy(k1, k2).agg(F.first(m_n).alias(m_n), F.first(F.struct(*docs.columns)).alias(m_row))
+    return alone.unionByName(_numbered(materialise(equal, "equal"), F.col(m_n), m_block, m_i).select(f"{m_row}.*"))

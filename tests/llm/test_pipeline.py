@@ -72,6 +72,17 @@ def test_mix(stages):
     assert max(Counter(map(tuple, after)).values()) <= 2
 
 
+def test_mix_copies_of_equal_rows(spark):
+    rows = [(None, "w " * 50, "en", "s1", 1, {"a": i % 2}) for i in range(2600)] + [(i, "w " * 50, "en", "s1", 1, None) for i in range(100)] + [(1, "", "en", "s1", 0, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, more map<string,int>")
+    from spanweave.llm import mixing
+
+    got = Counter((r.doc_id, r.text, None if r.more is None else r.more["a"]) for r in mixing.mixed_documents(docs).collect())
+    assert abs(sum(n * len(k[1].split()) for k, n in got.items()) - 1.5 * 2700 * 50) <= 50
+    assert got[(1, "", None)] == 3 and {k[2] for k in got} == {0, 1, None}
+    assert max(n for k, n in got.items() if k[0] is not None and k[1]) <= 2
+
+
 def test_tokens(stages):
     import public_tokenizers
     from tokenizers import Tokenizer
