@@ -517,6 +517,26 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return _texts_of(docs).mapInArrow(_ids(path, classes()), "doc_id long, ids array<int>")
 
 
+def _packed(path: str, kinds: tuple[tuple[int, int], ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path, kinds)
+        kind = "<u2" if enc.size <= 1 << 16 else "<u4"
+        for batch in batches:
+            rows: list[list[bytes]] = [[] for _ in range(batch.num_rows)]
+            for r, _, _, ids in enc.encode_batch(batch.column(1)):
+                rows[r].append(ids.astype(kind).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b"".join(x) for x in rows], pa.binary())], names=["doc_id", "ids"])
+        release()
+
+    return run
+
+
+def encode_packed(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids of every whole text as little-endian numbers, of 2 bytes
+    where the vocabulary allows it and else of 4."""
+    return _texts_of(docs).mapInArrow(_packed(path, classes()), "doc_id long, ids binary")
+
+
 def _texts(path: str, kinds: tuple[tuple[int, int], ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, kinds)

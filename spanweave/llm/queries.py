@@ -15,7 +15,7 @@ PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.training_order(documents(spark, sf_dir))
+    return shards.training_order(documents(spark, sf_dir), BYTE_BPE)
 
 
 def op2_media_png(spark: SparkSession, sf_dir: str) -> DataFrame:

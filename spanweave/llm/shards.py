@@ -11,14 +11,19 @@ at any slot with one seek.
 
 A record: doc_id (8 bytes, little endian), sequence number in the document (4),
 number of ids (2), flags (1: doc_id is null), ids (width bytes each), padding
-zeros, one newline (the writer's record end).
+zeros, one newline (the writer's record end).  A manifest beside the shards
+holds n, key, width, stride and per_shard, all that a reader needs.
 
 Defined cases: a null or empty text has one sequence without ids; repeated rows
-are sequences of their own; an empty table writes no shard.
+are sequences of their own; an empty table writes a manifest and no shard; a
+long text is many sequences; columns other than doc_id and text are not looked
+at, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import struct
 from collections.abc import Iterator
 
@@ -29,12 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.common import fresh_path, utf8_spans
+from spanweave.llm import bpe
+from spanweave.llm.common import fresh_path, materialise, release, utf8_spans
 
 HEAD = "<qIHB"
 HEAD_SIZE = struct.calcsize(HEAD)
-#: Bytes of a record with its end, and of a shard at most.
-STRIDE, SHARD_BYTES = 512, 16 << 20
+_HEAD = np.dtype([("doc", "<i8"), ("seq", "<u4"), ("n", "<u2"), ("null", "u1")])
+#: Bytes of a record with its end, and of a shard at most; records parsed at once.
+STRIDE, SHARD_BYTES, PARSED = 512, 4 << 20, 2048
 ROUNDS = 6
 
 
@@ -131,21 +138,23 @@ def _lines(stride: int):
     return run
 
 
+KIND = {1: np.dtype("<u1"), 2: np.dtype("<u2"), 4: np.dtype("<u4")}
+
+
 def pack_ids(sequences: DataFrame, width: int = 2) -> DataFrame:
     """doc_id, ids as little-endian bytes, from rows with ``ids array<int>``."""
-    kind = {1: "<u1", 2: "<u2", 4: "<u4"}[width]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [np.array(x or [], kind).tobytes() for x in batch.column(1).to_pylist()]
+            out = [np.array(x or [], KIND[width]).tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
     return sequences.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary")
 
 
-def write_shards(ids: DataFrame, path: str, width: int = 1, key: int = 1, stride: int = STRIDE, shard_bytes: int = SHARD_BYTES) -> dict[str, int]:
+def write_shards(ids: DataFrame, path: str, width: int = 2, key: int = 1, stride: int = STRIDE, shard_bytes: int = SHARD_BYTES) -> dict[str, int]:
     """Write ``ids`` (doc_id, ids binary or string of whole ids) as shards below
-    ``path``; returns n, width, stride, per_shard and key.
+    ``path``/shards and their manifest below ``path``/manifest; returns it.
 
     ``ids`` must be a scan that gives the same rows in the same partitions each
     time, as a scan of files does; write anything else to a table first.
@@ -164,32 +173,45 @@ def write_shards(ids: DataFrame, path: str, width: int = 1, key: int = 1, stride
         bases[p], n = n, n + per[p]
     per_shard = max(1, shard_bytes // stride)
     made = {"n": n, "width": width, "stride": stride, "per_shard": per_shard, "key": key}
+    spark.range(1).select(F.lit(json.dumps(made)).alias("value")).coalesce(1).write.text(f"{path}/manifest")
     if not n:
         return made
     shards = -(-n // per_shard)
     records = rows.mapInArrow(_records(spark.sparkContext.broadcast(bases), n, key, width, stride), "slot long, packed binary")
     placed = records.repartitionById(shards, F.floor(F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot").select("packed").mapInArrow(_lines(stride), "record binary")
-    placed.select(F.col("record").cast("string").alias("value")).write.option("compression", "none").option("lineSep", "\n").text(path)
+    placed.select(F.col("record").cast("string").alias("value")).write.option("compression", "none").option("lineSep", "\n").text(f"{path}/shards")
     return made
 
 
+def read_manifest(spark: SparkSession, path: str) -> dict[str, int]:
+    return json.loads(spark.read.text(f"{path}/manifest").first()["value"])
+
+
 def _parse(stride: int, width: int, per_shard: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for batch in batches:
             for r in range(batch.num_rows):
-                shard, content = batch.column(0)[r].as_py(), memoryview(batch.column(1)[r].as_buffer()).cast("B")
-                rows = []
-                for k in range(len(content) // stride):
-                    doc, seq, n, null = struct.unpack_from(HEAD, content, k * stride)
-                    ids = content[k * stride + HEAD_SIZE : k * stride + HEAD_SIZE + n * width]
-                    rows.append((None if null else doc, seq, shard * per_shard + k, shard, k * stride, n, hashlib.sha256(ids).hexdigest()))
-                cols = list(zip(*rows, strict=True)) if rows else [()] * 7
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "seq_no", "slot", "shard", "byte_offset", "n_ids", "ids_sha256"]
-                )
+                shard = batch.column(0)[r].as_py()
+                records = np.frombuffer(batch.column(1)[r].as_buffer(), np.uint8).reshape(-1, stride)
+                for first in range(0, len(records), PARSED):
+                    part = records[first : first + PARSED]
+                    head = np.ascontiguousarray(part[:, :HEAD_SIZE]).view(_HEAD).ravel()
+                    at = np.arange(first, first + len(part))
+                    ends = HEAD_SIZE + head["n"].astype(np.int64) * width
+                    sha = [hashlib.sha256(row[HEAD_SIZE:b]).hexdigest() for row, b in zip(part, ends.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(head["doc"].copy(), mask=head["null"] != 0),
+                            pa.array(head["seq"].astype(np.int64)),
+                            pa.array(shard * per_shard + at),
+                            pa.array(np.full(len(part), shard, np.int32)),
+                            pa.array(at * stride),
+                            pa.array(head["n"].astype(np.int32)),
+                            pa.array(sha, pa.string()),
+                        ],
+                        names=["doc_id", "seq_no", "slot", "shard", "byte_offset", "n_ids", "ids_sha256"],
+                    )
+        release()
 
     return run
 
@@ -197,33 +219,35 @@ def _parse(stride: int, width: int, per_shard: int):
 SLOTS = "doc_id long, seq_no long, slot long, shard int, byte_offset long, n_ids int, ids_sha256 string"
 
 
-def read_slots(spark: SparkSession, path: str, made: dict[str, int]) -> DataFrame:
+def read_slots(spark: SparkSession, path: str) -> DataFrame:
     """What the stored shards hold, one row per record, as read back."""
+    made = read_manifest(spark, path)
     if not made["n"]:
         return spark.createDataFrame([], SLOTS)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/shards")
     number = F.regexp_extract("path", r"part-(\d+)-[^/]*$", 1).cast("int")
     return files.select(number.alias("shard"), "content").mapInArrow(_parse(made["stride"], made["width"], made["per_shard"]), SLOTS)
 
 
 def read_from(path_of_shard, slot: int, made: dict[str, int]) -> Iterator[tuple[int, int | None, int, np.ndarray]]:
     """Resume at ``slot``: (slot, doc_id, seq_no, ids) to the end, one seek and
-    then sequential reads.  ``path_of_shard`` opens the file of a shard."""
-    kind = {1: np.dtype("<u1"), 2: np.dtype("<u2"), 4: np.dtype("<u4")}[made["width"]]
+    then sequential reads.  ``path_of_shard`` opens the file of a shard, and
+    ``made`` is the manifest."""
     while slot < made["n"]:
         shard, first = divmod(slot, made["per_shard"])
         with path_of_shard(shard) as f:
             f.seek(first * made["stride"])
             while record := f.read(made["stride"]):
                 doc, seq, n, null = struct.unpack_from(HEAD, record)
-                yield slot, None if null else doc, seq, np.frombuffer(record, kind, n, HEAD_SIZE)
+                yield slot, None if null else doc, seq, np.frombuffer(record, KIND[made["width"]], n, HEAD_SIZE)
                 slot += 1
 
 
-def training_order(docs: DataFrame, key: int = 1) -> DataFrame:
-    """Materialise the UTF-8 bytes of each text as ids 0 .. 255 in training
-    order below the shared folder, and return what the shards hold."""
+def training_order(docs: DataFrame, tokenizer: str, key: int = 1) -> DataFrame:
+    """Materialise the token ids of each text in training order below the
+    shared folder, and return what the shards hold."""
     spark = docs.sparkSession
-    path = fresh_path(spark, "shards")
-    made = write_shards(docs.select("doc_id", "text"), path, width=1, key=key)
-    return read_slots(spark, path, made)
+    path = fresh_path(spark, "training")
+    ids = materialise(bpe.encode_packed(docs, tokenizer), "ids")
+    write_shards(ids, path, key=key)
+    return read_slots(spark, path)

@@ -241,7 +241,9 @@ def test_shards_resume(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, ids binary").write.parquet(path)
     out = str(tmp_path / "shards")
     made = shards.write_shards(spark.read.parquet(path), out, width=1, key=3, stride=128, shard_bytes=128 * 16)
-    files = sorted(p for p in (tmp_path / "shards").iterdir() if p.name.startswith("part-"))
+    assert shards.read_manifest(spark, out) == made == {"n": made["n"], "width": 1, "stride": 128, "per_shard": 16, "key": 3}
+    made = shards.read_manifest(spark, out)  # what a reader has
+    files = sorted(p for p in (tmp_path / "shards" / "shards").iterdir() if p.name.startswith("part-"))
     assert [p.stat().st_size for p in files[:-1]] == [made["per_shard"] * 128] * (len(files) - 1)
     all_ = list(shards.read_from(lambda s: files[s].open("rb"), 0, made))
     assert [x[0] for x in all_] == list(range(made["n"]))

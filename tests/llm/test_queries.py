@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -182,8 +183,6 @@ def vectors() -> list[tuple[int | None, list | None]]:
 def test_neighbours(spark, tmp_path):
     some = vectors()
     at = brute.temporary(tmp_path, "embeddings", pa.table({"vec_id": pa.array([v[0] for v in some], pa.int64()), "embedding": pa.array([v[1] for v in some], pa.list_(pa.float32())), "label": pa.array([1] * len(some), pa.int32())}))
-    import numpy as np
-
     dims = len(some[0][1])
     kept = {i: list(map(float, np.array(v, np.float32))) for i, v in some if i is not None and v and None not in v and len(v) == dims}
     want = brute.neighbours(kept)
@@ -208,20 +207,31 @@ def test_few_vectors(spark, tmp_path):
 
 
 def test_training_order(spark, at, rows):
+    """Slots, shards and contents against a plain version: the records of each
+    text, numbered in the order of the scan, placed by the permutation."""
+    from tokenizers import Tokenizer
+
+    from spanweave.llm import shards
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = q.op1_training_order(spark, at).collect()
-    assert sorted(r.slot for r in got) == list(range(len(got)))
-    first = {}
-    for r in sorted(got, key=lambda r: r.slot):
-        first.setdefault(r.doc_id, r.slot)
-    assert list(first) != [r[0] for r in rows if r[0] in first]  # another order than the input's
-    total = Counter()
-    for r in got:
-        total[r.doc_id] += r.n_ids
+    most = shards.ids_per_record(2)
     want = Counter()
     for r in rows:
-        want[r[0]] += len((r[1] or "").encode())
-    assert total == want
-    assert len({(r.shard, r.byte_offset) for r in got}) == len(got)
+        ids = t.encode(r[1] or "", add_special_tokens=False).ids
+        for k in range(max(1, -(-len(ids) // most))):
+            part = ids[k * most : (k + 1) * most]
+            want[(r[0], k, len(part), brute.sha(b"".join(i.to_bytes(2, "little") for i in part)))] += 1
+    assert Counter((r.doc_id, r.seq_no, r.n_ids, r.ids_sha256) for r in got) == want
+    n, per_shard = len(got), shards.SHARD_BYTES // shards.STRIDE
+    assert sorted(r.slot for r in got) == list(range(n))
+    assert all((r.shard, r.byte_offset) == (r.slot // per_shard, r.slot % per_shard * shards.STRIDE) for r in got)
+    # the numbers behind the slots: the records of a text are neighbours
+    number = dict(zip(range(n), shards.unpermute(np.arange(n), n, 1).tolist(), strict=True))
+    by_number = sorted((number[r.slot], r.doc_id, r.seq_no) for r in got)
+    assert [x[0] for x in by_number] == list(range(n))
+    assert all(b[1:] == (a[1], a[2] + 1) or b[2] == 0 for a, b in zip(by_number, by_number[1:], strict=False))
+    assert [r.slot for r in sorted(got, key=lambda r: number[r.slot])] != list(range(n))  # another order than the input's
     again = q.op1_training_order(spark, at).collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
