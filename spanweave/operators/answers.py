@@ -106,25 +106,32 @@ def truncated(graph: Graph, sub: Subgraph, direction: str, query: TraversalQuery
     return sub.seen.select("qid").distinct().join(out, "qid", "left").select("qid", F.coalesce("truncated", F.lit(False)).alias("truncated"))
 
 
-def diagnostics_for_files(diagnostics: DataFrame, files: DataFrame) -> DataFrame:
-    """Distinct (qid, text) of diagnostics that contain a file of a query,
-    whatever the case.
+#: Letters of a file's end by which texts are searched for it.
+END = 16
+
 
-    The diagnostics are cut into tokens first, so the search is an equi join
-    on file names; texts whose files cannot be cut out of a token (a blank in
-    the name) take the containment test against the files that have blanks.
+def mentions(texts: DataFrame, files: DataFrame) -> DataFrame:
+    """Distinct (text, file) where a text has a file in it, whatever the case;
+    texts: text; files: file, in lower case, not empty.
+
+    Exact, by an equi join: a text has the file's last ``END`` letters (all, if
+    fewer) as one of its own stretches of that length, of which it has no more
+    than letters; the whole file is then looked for in the texts so found.
     """
+    f = files.select("file").distinct().withColumn("end", F.right("file", F.least(F.lit(END), F.length("file"))))
+    sizes = sorted(r[0] for r in f.select(F.length("end")).distinct().collect())  # END of them at most
+    t = texts.select("text").distinct().withColumn("low", F.lower("text"))
+    none = F.array().cast("array<string>")
+    stretch = lambda n: F.when(F.length("low") >= n, F.transform(F.sequence(F.lit(1), F.length("low") - n + 1), lambda i: F.substr("low", i, F.lit(n)))).otherwise(none)
+    each = t.select("text", "low", F.explode(F.array_distinct(F.concat(none, *[stretch(n) for n in sizes]))).alias("end"))
+    return each.join(f, "end").where(F.contains("low", F.col("file"))).select("text", "file").distinct()
+
+
+def diagnostics_for_files(diagnostics: DataFrame, files: DataFrame) -> DataFrame:
+    """Distinct (qid, text) of diagnostics that contain a file of a query,
+    whatever the case."""
     f = files.where(F.coalesce(F.trim("filePath"), F.lit("")) != "").select("qid", F.lower("filePath").alias("file")).distinct()
-    d = diagnostics.select("text").distinct().withColumn("low", F.lower("text"))
-    plain = f.where(~F.col("file").rlike(r"\s"))
-    # every run inside a token that ends at a boundary may be the file
-    token = d.select("text", F.explode(F.split("low", r"\s+")).alias("t")).where("t <> ''")
-    ends = token.select("text", "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.col("t").substr(F.lit(1), i)))).alias("head"))
-    runs = ends.select("text", F.explode(F.transform(F.sequence(F.lit(1), F.length("head")), lambda i: F.substr("head", i))).alias("file")).distinct()
-    hit = runs.join(plain, "file").select("qid", "text")
-    odd = f.where(F.col("file").rlike(r"\s"))
-    loose = d.join(odd, F.contains(d["low"], odd["file"])).select("qid", "text")
-    return hit.unionByName(loose).distinct()
+    return mentions(diagnostics, f).join(f, "file").select("qid", "text").distinct()
 
 
 def limitations(graph: Graph, sub: Subgraph, direction: str, query: TraversalQuery) -> DataFrame:

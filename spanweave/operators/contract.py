@@ -55,7 +55,7 @@ def sibling_order() -> list[Column]:
     ]
 
 
-def contract(edges: DataFrame, nodes: DataFrame, kept: DataFrame, max_levels: int = 64) -> DataFrame:
+def contract(edges: DataFrame, nodes: DataFrame, kept: DataFrame) -> DataFrame:
     """qid, fromId, toId, kind, label, ambiguous, callSites between kept nodes.
 
     edges: qid and the flow's edges; nodes: qid, id, kind, displayName of all
@@ -75,7 +75,9 @@ def contract(edges: DataFrame, nodes: DataFrame, kept: DataFrame, max_levels: in
     cols = ["qid", F.col("fromId").alias("source"), "toId", F.array("rank").alias("path"), "w", F.lit(0).alias("through"), F.lit("").alias("label"), "ambiguous", site["origin"].alias("origin"), "stays", "name"]
     level = stored(first.select(*cols), "level")
     found, seen = [level.where("stays")], None
-    for depth in range(1, max_levels + 1):
+    depth = 0
+    while True:  # ends: each dropped node comes once a source
+        depth += 1
         # each dropped node once a source: by the least path of ranks
         new = level.where("not stays").groupBy("qid", "source", "toId").agg(F.min_by(F.struct("path", "w", "origin", "name"), "path").alias("b"))
         if seen is not None:

@@ -56,34 +56,48 @@ def _targets(sites: DataFrame, implementations: DataFrame) -> DataFrame:
     return sites.unionByName(through.select(sites.columns)).distinct()
 
 
-def route_prefixes(propagations: DataFrame, implementations: DataFrame, max_levels: int = 32) -> DataFrame:
-    """method, prefix: the prefixes under which each method is mounted.
+def route_prefixes(propagations: DataFrame, implementations: DataFrame, most: int = MAX_PREFIXES) -> tuple[DataFrame, DataFrame]:
+    """(method, prefix) of the prefixes under which each method is mounted, and
+    the (method, ) of those that have more than ``most``.
 
-    Starts at rooted propagations and pushes along those of parameters; a
-    method keeps its 8 least prefixes.
+    Starts at rooted propagations and pushes along those of parameters until
+    nothing is new; a method keeps its ``most`` least prefixes.  A cycle only
+    lengthens a prefix, which makes it greater, so this ends.
     """
     sites = stored(_targets(propagations.select("enclosing_id", "target_id", "origin_kind", "relative_prefix"), implementations), "propagations")
     level = sites.where("origin_kind = 'Root'").select(F.col("target_id").alias("method"), route_combine(F.coalesce("relative_prefix", F.lit(""))).alias("prefix")).distinct()
     push = sites.where("origin_kind = 'Parameter'").select("enclosing_id", "target_id", F.coalesce("relative_prefix", F.lit("")).alias("relative"))
-    cap = F.row_number().over(Window.partitionBy("method").orderBy("prefix"))
-    known = None
-    for _ in range(max_levels):
+    place = F.row_number().over(Window.partitionBy("method").orderBy("prefix"))
+    known = over = None
+    while True:
         if known is not None:
             level = level.join(known, ["method", "prefix"], "left_anti")
-        level = stored(level.withColumn("_n", cap).where(F.col("_n") <= MAX_PREFIXES).drop("_n"), "prefixes")
+        ranked = level.withColumn("_new", F.lit(True))
+        if known is not None:
+            ranked = ranked.unionByName(known.withColumn("_new", F.lit(False)))
+        ranked = stored(ranked.withColumn("_n", place), "prefixes")
+        left_out = ranked.where(F.col("_n") > most).select("method")
+        over = left_out if over is None else over.unionByName(left_out)
+        level = ranked.where(F.col("_new") & (F.col("_n") <= most)).select("method", "prefix")
         if level.isEmpty():
             break
-        known = level if known is None else known.unionByName(level)
+        known = ranked.where(F.col("_n") <= most).select("method", "prefix")
         level = level.join(push, F.col("method") == F.col("enclosing_id")).select(F.col("target_id").alias("method"), route_combine(F.col("prefix"), F.col("relative")).alias("prefix")).distinct()
-    known = level if known is None else known
-    return known.withColumn("_n", cap).where(F.col("_n") <= MAX_PREFIXES).drop("_n")
+    return (level if known is None else known), over.distinct()
+
+
+def prefix_diagnostics(over: DataFrame, most: int = MAX_PREFIXES) -> DataFrame:
+    """text: one line for each method that has more prefixes than are kept."""
+    return over.select(F.concat(F.lit(f"more than {most} route prefixes, the others are left out: "), "method").alias("text"))
 
 
-def endpoints(facts: dict[str, DataFrame]) -> DataFrame:
+def endpoints(facts: dict[str, DataFrame], prefixes: DataFrame | None = None) -> DataFrame:
     """id, displayName, method, module, file, line, status of each mapped route;
     one for each prefix.  A route that cannot be resolved stays, with its reason."""
     calls = facts["map_calls"]
-    prefixes = route_prefixes(facts["propagations"], facts["implementations"]).select(F.col("method").alias("enclosing_id"), "prefix")
+    if prefixes is None:
+        prefixes = route_prefixes(facts["propagations"], facts["implementations"])[0]
+    prefixes = prefixes.select(F.col("method").alias("enclosing_id"), "prefix")
     known = calls.join(prefixes, "enclosing_id", "left")
     rooted = F.col("origin_kind") == "Root"
     base = F.when(rooted, F.lit("")).when(F.col("origin_kind") == "Parameter", F.col("prefix"))
@@ -172,26 +186,43 @@ def merge_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("id").agg(F.bool_or("ambiguous").alias("ambiguous"), F.min("depth").alias("depth"), F.min_by(F.struct(*rest), F.struct("depth", "filePath", "line")).alias("r")).select("id", "ambiguous", "depth", "r.*").select(*nodes.columns)
 
 
-def walk(hops: DataFrame, roots: DataFrame, max_depth: int = 20, budget: int = 5000) -> DataFrame:
-    """id, depth, truncated of what the roots reach over hops (src, dst, cost).
+def walk(hops: DataFrame, roots: DataFrame, max_depth: int = 20, budget: int = 5000) -> tuple[DataFrame, bool]:
+    """(id, depth, truncated of what the roots reach over hops (src, dst,
+    cost); whether the budget ended the walk).
 
     Interface members cost one hop more to their implementations, events one,
     consumers two, so depths are least sums.  Stops growing at ``budget`` nodes;
-    a node whose next hop would pass the depth is truncated.
+    a node is truncated if its next hop would pass the depth, or if the budget
+    left a neighbour out.
     """
-    best = stored(roots.select("id").distinct().withColumn("depth", F.lit(0)), "walk")
-    frontier, n = best, best.count()
-    while n < budget:
+    frontier = stored(roots.select("id").distinct().withColumn("depth", F.lit(0)), "walk")
+    levels, spent = [frontier], False
+
+    def best() -> DataFrame:
+        every = levels[0]
+        for level in levels[1:]:
+            every = every.unionByName(level)
+        return every.groupBy("id").agg(F.min("depth").alias("depth"))
+
+    while True:
         new = frontier.join(hops, frontier["id"] == hops["src"]).select(F.col("dst").alias("id"), (F.col("depth") + F.col("cost")).alias("depth")).where(F.col("depth") <= max_depth)
         new = new.groupBy("id").agg(F.min("depth").alias("depth"))
-        old = best.select("id", F.col("depth").alias("_old"))
-        frontier = stored(new.join(old, "id", "left").where("_old is null or depth < _old").select("id", "depth"), "walk")
-        if frontier.isEmpty():
+        old = best().select("id", F.col("depth").alias("_old"))
+        new = stored(new.join(old, "id", "left").where("_old is null or depth < _old").select("id", "depth"), "walk")
+        if new.isEmpty():
+            break
+        if best().count() >= budget:
+            spent = not new.join(best().select("id"), "id", "left_anti").isEmpty()
             break
-        best = stored(best.unionByName(frontier).groupBy("id").agg(F.min("depth").alias("depth")), "walk")
-        n = best.count()
-    cut = best.join(hops, best["id"] == hops["src"]).where(F.col("depth") + F.col("cost") > max_depth).select("id").distinct().withColumn("truncated", F.lit(True))
-    return best.join(cut, "id", "left").select("id", "depth", F.coalesce("truncated", F.lit(False)).alias("truncated"))
+        frontier = new
+        levels.append(frontier)
+    found = stored(best(), "walk")
+    onward = found.join(hops, found["id"] == hops["src"])
+    cut = onward.where(F.col("depth") + F.col("cost") > max_depth).select("id")
+    if spent:
+        cut = cut.unionByName(onward.join(found.select(F.col("id").alias("dst")), "dst", "left_anti").select("id"))
+    cut = cut.distinct().withColumn("truncated", F.lit(True))
+    return found.join(cut, "id", "left").select("id", "depth", F.coalesce("truncated", F.lit(False)).alias("truncated")), spent
 
 
 def walk_counters(invocations: DataFrame) -> DataFrame:
@@ -343,7 +374,8 @@ def stamp_roots(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 def build(facts: dict[str, DataFrame], max_depth: int = 20, budget: int = 5000) -> Graph:
     """The whole graph of a set of facts."""
     methods = production(facts)
-    ends = stored(endpoints(facts).where("status = 'ok'"), "endpoints")
+    prefixes, over = route_prefixes(facts["propagations"], facts["implementations"])
+    ends = stored(endpoints(facts, prefixes).where("status = 'ok'"), "endpoints")
     events, alone = event_edges(facts)
     none = F.array().cast(f"array<{SITE}>")
     mapped = ends.select(F.col("id").alias("fromId"), F.col("method").alias("toId"), F.lit("Calls").alias("kind"), F.lit(None).cast("string").alias("evidence"), F.lit(False).alias("ambiguous"), F.lit("None").alias("mechanism"), none.alias("callSites"))
@@ -353,7 +385,8 @@ def build(facts: dict[str, DataFrame], max_depth: int = 20, budget: int = 5000)
     roots = ends.select(F.lit("Endpoint").alias("kind"), "id")
     roots = roots.unionByName(facts["consumers"].select(F.lit("Consumer").alias("kind"), F.col("consume_method_id").alias("id")).distinct())
     roots = roots.unionByName(facts["hosted_services"].select(F.lit("BackgroundService").alias("kind"), F.col("method_id").alias("id")).distinct())
-    reached = stored(walk(stored(hop, "hops"), roots, max_depth, budget), "reached")
+    reached, spent = walk(stored(hop, "hops"), roots, max_depth, budget)
+    reached = stored(reached, "reached")
     own = F.struct(F.col("containing_type").alias("t"))
     kind = F.when(F.col("containing_type").rlike("(Repository|Queries)$"), "Repository").when(F.col("containing_type").rlike("Handler$") & F.col("containing_type").contains(".Application"), "Handler").otherwise("Method")
     name = F.concat_ws(".", F.substring_index(own["t"], ".", -1), F.col("name"))
@@ -368,7 +401,10 @@ def build(facts: dict[str, DataFrame], max_depth: int = 20, budget: int = 5000)
     ids = nodes.select("id")
     live = edges.unionByName(data)
     live = live.join(ids.withColumnRenamed("id", "fromId"), "fromId", "left_semi").join(ids.withColumnRenamed("id", "toId"), "toId", "left_semi").select(*EDGE.names)
-    return Graph(nodes, stored(live, "edges"), stored(notes.unionByName(alone).unionByName(facts["diagnostics"]).distinct(), "diagnostics"))
+    notes = notes.unionByName(alone).unionByName(prefix_diagnostics(over)).unionByName(facts["diagnostics"])
+    if spent:
+        notes = notes.unionByName(methods.sparkSession.range(1).select(F.lit(f"the walk ended at its budget of {budget} nodes").alias("text")))
+    return Graph(nodes, stored(live, "edges"), stored(notes.distinct(), "diagnostics"))
 
 
 # --- gates ------------------------------------------------------------------------------

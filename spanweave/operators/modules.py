@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanweave.model import Graph, location, ordinal
 from spanweave.operators.answers import diagnostics_for_files
-from spanweave.operators.traverse import reach
+from spanweave.operators.traverse import reached_sets
 
 SHARED = "Shared"
 
@@ -44,16 +44,9 @@ def shared_dependents(graph: Graph) -> DataFrame:
 
 
 def endpoint_tables(graph: Graph) -> DataFrame:
-    """id, module, tables: how many tables each endpoint reaches, by one walk
-    for all endpoints."""
-    ends = graph.nodes.where("kind = 'Endpoint'").select("id")
-    tables = graph.nodes.where("kind = 'Table'").select("id")
-    if tables.count() <= ends.count():  # from the side that is fewer
-        starts = tables.select(F.col("id").alias("qid"), "id")
-        n = reach(graph, starts, "Backward").join(ends, "id", "left_semi").groupBy("id").agg(F.count("*").alias("tables"))
-    else:
-        starts = ends.select(F.col("id").alias("qid"), "id")
-        n = reach(graph, starts).join(tables, "id", "left_semi").groupBy(F.col("qid").alias("id")).agg(F.count("*").alias("tables"))
+    """id, displayName, module, tables: how many tables each endpoint reaches,
+    by one walk of table sets back from all tables."""
+    n = reached_sets(graph, graph.nodes.where("kind = 'Table'")).select("id", F.col("n").alias("tables"))
     return graph.nodes.where("kind = 'Endpoint'").select("id", "displayName", "module").join(n, "id", "left").select("id", "displayName", "module", F.coalesce("tables", F.lit(0).cast("long")).alias("tables"))
 
 

@@ -3,8 +3,8 @@
 One loop serves any number of starts: every row carries the query it belongs
 to.  A level is one join with the adjacency, one distinct and one anti join
 with what has been visited, written to the shared folder, so the plan of a
-level never holds the levels before it.  Small graphs, of a counted size, are
-walked on the driver instead.
+level never holds the levels before it.  A frontier that is small is sent to the adjacency by the
+optimizer, from the size of its files, so that only it moves.
 """
 
 from __future__ import annotations
@@ -17,10 +17,6 @@ from pyspark.sql import functions as F
 from spanweave.model import Graph, TraversalQuery
 from spanweave.tables import stored
 
-#: Up to so many distinct hops a few starts are walked on the driver.
-SMALL_HOPS, SMALL_STARTS = 100_000, 8
-
-
 @dataclass
 class Subgraph:
     """reach: qid, id, depth; edges: qid and the edges that were traversed;
@@ -40,28 +36,6 @@ def hops(graph: Graph, direction: str = "Forward", kinds: tuple[str, ...] | None
     return e.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct().join(ids, "dst", "left_semi").select("src", "dst")
 
 
-def _walk_small(starts: list, pairs: list, max_depth: int) -> list[tuple]:
-    out_of: dict[str, list[str]] = {}
-    for src, dst in pairs:
-        out_of.setdefault(src, []).append(dst)
-    rows = []
-    for qid, start in starts:
-        depth = {start: 0}
-        frontier = [start]
-        for d in range(1, max_depth + 1):
-            later = []
-            for at in frontier:
-                for to in out_of.get(at, ()):
-                    if to not in depth:
-                        depth[to] = d
-                        later.append(to)
-            frontier = later
-            if not frontier:
-                break
-        rows += [(qid, i, d) for i, d in depth.items()]
-    return rows
-
-
 def reach(graph: Graph, starts: DataFrame, direction: str = "Forward", max_depth: int = 20, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """qid, id, depth (fewest hops) of all nodes within ``max_depth`` of the
     starts (qid, id).  An unknown start reaches nothing."""
@@ -69,10 +43,6 @@ def reach(graph: Graph, starts: DataFrame, direction: str = "Forward", max_depth
     seeds = starts.select("qid", "id").distinct().join(graph.nodes.select("id"), "id", "left_semi").select("qid", "id")
     adjacent = stored(hops(graph, direction, kinds), "hops")
     known = stored(seeds.withColumn("depth", F.lit(0)), "reach")
-    many = known.limit(SMALL_STARTS + 1).count()
-    if many <= SMALL_STARTS and adjacent.count() <= SMALL_HOPS:
-        rows = _walk_small([(r["qid"], r["id"]) for r in known.collect()], [(r["src"], r["dst"]) for r in adjacent.collect()], max_depth)
-        return stored(spark.createDataFrame(rows, known.schema), "reach")
     frontier = known
     for depth in range(1, max_depth + 1):
         new = frontier.join(adjacent, frontier["id"] == adjacent["src"]).select("qid", F.col("dst").alias("id")).distinct()
@@ -146,6 +116,28 @@ def reaches_data(graph: Graph, kinds: tuple[str, ...]) -> DataFrame:
     return reach(graph, ends, "Backward").select("id").distinct()
 
 
+def reached_sets(graph: Graph, ends: DataFrame, direction: str = "Backward", max_depth: int = 20) -> DataFrame:
+    """id, n: how many of the ``ends`` (id) each node reaches, itself included.
+
+    A node's set of ends is kept as 64-bit words, one row for a word, and only
+    words that have changed move on: the state is a 64th of all pairs.
+    """
+    ends = ends.select("id").distinct().join(graph.nodes.select("id"), "id", "left_semi")
+    numbered = stored(ends.withColumn("_k", F.monotonically_increasing_id()), "ends")
+    adjacent = stored(hops(graph, direction), "hops")
+    word = numbered.select("id", F.shiftright("_k", 6).alias("word"), F.expr("shiftleft(1L, cast(_k & 63 as int))").alias("bits"))
+    known = frontier = stored(word, "sets")
+    for _ in range(max_depth):
+        new = frontier.join(adjacent, frontier["id"] == adjacent["src"]).groupBy(F.col("dst").alias("id"), "word").agg(F.bit_or("bits").alias("bits"))
+        old = known.select("id", "word", F.col("bits").alias("_old"))
+        new = new.join(old, ["id", "word"], "left").withColumn("_old", F.coalesce("_old", F.lit(0).cast("long"))).withColumn("bits", F.col("bits").bitwiseOR(F.col("_old")))
+        frontier = stored(new.where("bits <> _old").select("id", "word", "bits"), "sets")
+        if frontier.isEmpty():
+            break
+        known = stored(known.unionByName(frontier).groupBy("id", "word").agg(F.bit_or("bits").alias("bits")), "sets")
+    return known.groupBy("id").agg(F.sum(F.bit_count("bits")).alias("n"))
+
+
 def routes(graph: Graph, pairs: DataFrame, max_hops: int = 4) -> DataFrame:
     """qid, path: the lexicographically least of the shortest CALLS routes of
     each pair (qid, id, target); the start is not part of a path."""

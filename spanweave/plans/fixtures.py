@@ -5,10 +5,12 @@ Every operator has data this way, and SQL can build the same graph.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanweave.model import EDGE, NODE, Graph
+from spanweave.tables import fresh_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +79,34 @@ def commerce(spark: SparkSession, sf_dir: str, cyclic: bool = False) -> Graph:
     return Graph(nodes, edges, notes, "commerce")
 
 
+_BUILT: dict[tuple, str] = {}
+
+
+def stored_commerce(spark: SparkSession, sf_dir: str, cyclic: bool = False) -> Graph:
+    """``commerce``, built once for a session and folder and then read from
+    its stored tables."""
+    at = (spark.sparkContext.applicationId, sf_dir, cyclic)
+    try:
+        return load(spark, _BUILT[at])
+    except (KeyError, AnalysisException):  # not built yet, or no longer there
+        _BUILT[at] = save(commerce(spark, sf_dir, cyclic), spark)
+        return load(spark, _BUILT[at])
+
+
+def save(graph: Graph, spark: SparkSession) -> str:
+    """Write the tables of a graph below the shared folder; where they are."""
+    path = fresh_path(spark, "graph")
+    graph.nodes.write.parquet(f"{path}/nodes")
+    graph.edges.write.parquet(f"{path}/edges")
+    graph.diagnostics.write.parquet(f"{path}/diagnostics")
+    return path
+
+
+def load(spark: SparkSession, path: str) -> Graph:
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    return Graph(read("nodes"), read("edges"), read("diagnostics"), "commerce")
+
+
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adjacent events of each user: src, dst, n."""
     from pyspark.sql.window import Window

@@ -62,7 +62,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return fixtures.commerce(spark, sf_dir)
+    return fixtures.stored_commerce(spark, sf_dir)
 
 
 def _from(g: Graph, node: str = START) -> DataFrame:
@@ -146,7 +146,7 @@ _CYCLE = EDGES.rstrip().rstrip(")") + "  UNION ALL SELECT 'event:n' || c_nationk
     SELECT n.kind, count(*) AS n FROM walk JOIN nodes n USING (id) GROUP BY n.kind""",
 )
 def cyclic_reach(spark, sf_dir):
-    g = fixtures.commerce(spark, sf_dir, cyclic=True)
+    g = fixtures.stored_commerce(spark, sf_dir, cyclic=True)
     return traverse.forward(g, START).join(g.nodes, "id").groupBy("kind").agg(F.count("*").alias("n"))
 
 

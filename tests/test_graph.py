@@ -17,13 +17,7 @@ def ids(df):
     return {r["id"] for r in df.collect()}
 
 
-@pytest.fixture(params=["small", "distributed"])
-def path(request, monkeypatch):
-    if request.param == "distributed":
-        monkeypatch.setattr(traverse, "SMALL_HOPS", -1)
-
-
-def test_forward_backward_and_depth(spark, path):
+def test_forward_backward_and_depth(spark):
     g = chain(spark)
     assert TABLE in ids(traverse.forward(g, ROOT))
     back = ids(traverse.backward(g, TABLE))
@@ -33,7 +27,7 @@ def test_forward_backward_and_depth(spark, path):
     assert ids(traverse.forward(g, "no such node")) == set()
 
 
-def test_cycles_end_and_kinds_change_reach(spark, path):
+def test_cycles_end_and_kinds_change_reach(spark):
     g = graph(spark, [node("A", "Method"), node("B", "Method")], [edge("A", "B"), edge("B", "A")])
     assert {(r["id"], r["depth"]) for r in traverse.forward(g, "A", 50).collect()} == {("A", 0), ("B", 1)}
     c = chain(spark)
