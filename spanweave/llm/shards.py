@@ -243,11 +243,17 @@ def read_from(path_of_shard, slot: int, made: dict[str, int]) -> Iterator[tuple[
                 slot += 1
 
 
-def training_order(docs: DataFrame, tokenizer: str, key: int = 1) -> DataFrame:
-    """Materialise the token ids of each text in training order below the
-    shared folder, and return what the shards hold."""
+def training_order(docs: DataFrame, tokenizer: str | None = None, key: int = 1) -> DataFrame:
+    """Materialise the ids of each text in training order below the shared
+    folder, and return what the shards hold.
+
+    Ids are those of a byte-level tokenizer file, or without one the UTF-8
+    bytes, whose shards can be written without a table of ids before them.
+    """
     spark = docs.sparkSession
     path = fresh_path(spark, "training")
-    ids = materialise(bpe.encode_packed(docs, tokenizer), "ids")
-    write_shards(ids, path, key=key)
+    if tokenizer is None:
+        write_shards(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), path, width=1, key=key)
+    else:
+        write_shards(materialise(bpe.encode_packed(docs, tokenizer), "ids"), path, key=key)
     return read_slots(spark, path)

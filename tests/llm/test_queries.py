@@ -206,7 +206,8 @@ def test_few_vectors(spark, tmp_path):
     assert got == [(0, 1, 1, 0.707107), (0, 2, 2, 0.0)]
 
 
-def test_training_order(spark, at, rows):
+@pytest.mark.parametrize("width", [1, 2])
+def test_training_order(spark, at, rows, width):
     """Slots, shards and contents against a plain version: the records of each
     text, numbered in the order of the scan, placed by the permutation."""
     from tokenizers import Tokenizer
@@ -214,14 +215,15 @@ def test_training_order(spark, at, rows):
     from spanweave.llm import shards
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    got = q.op1_training_order(spark, at).collect()
-    most = shards.ids_per_record(2)
+    run = lambda: (q.op1_training_order(spark, at) if width == 1 else shards.training_order(q.documents(spark, at), q.BYTE_BPE)).collect()
+    got = run()
+    most = shards.ids_per_record(width)
     want = Counter()
     for r in rows:
-        ids = t.encode(r[1] or "", add_special_tokens=False).ids
+        ids = list((r[1] or "").encode()) if width == 1 else t.encode(r[1] or "", add_special_tokens=False).ids
         for k in range(max(1, -(-len(ids) // most))):
             part = ids[k * most : (k + 1) * most]
-            want[(r[0], k, len(part), brute.sha(b"".join(i.to_bytes(2, "little") for i in part)))] += 1
+            want[(r[0], k, len(part), brute.sha(b"".join(i.to_bytes(width, "little") for i in part)))] += 1
     assert Counter((r.doc_id, r.seq_no, r.n_ids, r.ids_sha256) for r in got) == want
     n, per_shard = len(got), shards.SHARD_BYTES // shards.STRIDE
     assert sorted(r.slot for r in got) == list(range(n))
@@ -232,8 +234,7 @@ def test_training_order(spark, at, rows):
     assert [x[0] for x in by_number] == list(range(n))
     assert all(b[1:] == (a[1], a[2] + 1) or b[2] == 0 for a, b in zip(by_number, by_number[1:], strict=False))
     assert [r.slot for r in sorted(got, key=lambda r: number[r.slot])] != list(range(n))  # another order than the input's
-    again = q.op1_training_order(spark, at).collect()
-    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+    assert Counter(map(tuple, got)) == Counter(map(tuple, run()))
 
 
 def test_licenses(spark, at, rows):
