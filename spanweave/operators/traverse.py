@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.model import Graph, TraversalQuery
-from spanweave.tables import stored
+from spanweave.tables import stored, stored_counted
 
 @dataclass
 class Subgraph:
@@ -46,8 +46,8 @@ def reach(graph: Graph, starts: DataFrame, direction: str = "Forward", max_depth
     frontier = known
     for depth in range(1, max_depth + 1):
         new = frontier.join(adjacent, frontier["id"] == adjacent["src"]).select("qid", F.col("dst").alias("id")).distinct()
-        frontier = stored(new.join(known, ["qid", "id"], "left_anti").withColumn("depth", F.lit(depth)), "reach")
-        if frontier.isEmpty():
+        frontier, n = stored_counted(new.join(known, ["qid", "id"], "left_anti").withColumn("depth", F.lit(depth)), "reach")
+        if not n:
             break
         known = known.unionByName(frontier)
     return known
@@ -131,8 +131,8 @@ def reached_sets(graph: Graph, ends: DataFrame, direction: str = "Backward", max
         new = frontier.join(adjacent, frontier["id"] == adjacent["src"]).groupBy(F.col("dst").alias("id"), "word").agg(F.bit_or("bits").alias("bits"))
         old = known.select("id", "word", F.col("bits").alias("_old"))
         new = new.join(old, ["id", "word"], "left").withColumn("_old", F.coalesce("_old", F.lit(0).cast("long"))).withColumn("bits", F.col("bits").bitwiseOR(F.col("_old")))
-        frontier = stored(new.where("bits <> _old").select("id", "word", "bits"), "sets")
-        if frontier.isEmpty():
+        frontier, n = stored_counted(new.where("bits <> _old").select("id", "word", "bits"), "sets")
+        if not n:
             break
         known = stored(known.unionByName(frontier).groupBy("id", "word").agg(F.bit_or("bits").alias("bits")), "sets")
     return known.groupBy("id").agg(F.sum(F.bit_count("bits")).alias("n"))
@@ -149,11 +149,11 @@ def routes(graph: Graph, pairs: DataFrame, max_hops: int = 4) -> DataFrame:
         new = frontier.join(adjacent, frontier["id"] == adjacent["src"])
         new = new.select("qid", F.col("dst").alias("id"), "target", F.array_append("path", F.col("dst")).alias("path"))
         new = new.groupBy("qid", "id", "target").agg(F.min("path").alias("path")).join(known, ["qid", "id"], "left_anti")
-        new = stored(new.select("qid", "id", "target", "path"), "routes")
+        new, n = stored_counted(new.select("qid", "id", "target", "path"), "routes")
         done.append(new.where("id = target").select("qid", "path"))
         # a pair that has arrived goes no further
         frontier = new.join(new.where("id = target").select("qid"), "qid", "left_anti")
-        if new.isEmpty():
+        if not n:
             break
         known = known.unionByName(new)
     out = done[0]

@@ -5,6 +5,8 @@ Every operator has data this way, and SQL can build the same graph.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,17 +84,29 @@ def commerce(spark: SparkSession, sf_dir: str, cyclic: bool = False) -> Graph:
 _BUILT: dict[tuple, str] = {}
 
 
-def stored_commerce(spark: SparkSession, sf_dir: str, cyclic: bool = False) -> Graph:
-    """``commerce``, built once for a session and folder and then read from
-    its stored tables."""
-    at = (spark.sparkContext.applicationId, sf_dir, cyclic)
+def stored_graph(spark: SparkSession, name: tuple, make: Callable[[], Graph]) -> Graph:
+    """The graph of this name, built once a session and then read from its
+    stored tables."""
+    at = (spark.sparkContext.applicationId, *name)
     try:
         return load(spark, _BUILT[at])
     except (KeyError, AnalysisException):  # not built yet, or no longer there
-        _BUILT[at] = save(commerce(spark, sf_dir, cyclic), spark)
+        _BUILT[at] = save(make(), spark)
         return load(spark, _BUILT[at])
 
 
+def stored_commerce(spark: SparkSession, sf_dir: str, cyclic: bool = False) -> Graph:
+    return stored_graph(spark, ("commerce", sf_dir, cyclic), lambda: commerce(spark, sf_dir, cyclic))
+
+
+def call_graph(ids: DataFrame, calls: DataFrame) -> Graph:
+    """Methods (id) and the calls (fromId, toId, line) between them."""
+    nodes = _node(ids, F.col("id"), "Method", F.col("id"), F.lit("Shop"), "calls", F.lit(1))
+    site = F.struct(F.lit("calls.cs").alias("filePath"), F.col("line").cast("int").alias("line"), F.lit(1).alias("column"), F.lit(False).alias("conditional"))
+    each = calls.groupBy("fromId", "toId").agg(F.array_sort(F.collect_set(site)).alias("sites"))
+    return Graph(nodes, _edge(each, F.col("fromId"), F.col("toId"), "Calls", "None", F.col("sites")), ids.sparkSession.createDataFrame([], "text string"))
+
+
 def save(graph: Graph, spark: SparkSession) -> str:
     """Write the tables of a graph below the shared folder; where they are."""
     path = fresh_path(spark, "graph")

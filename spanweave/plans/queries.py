@@ -94,14 +94,20 @@ def graph_flags(spark, sf_dir):
 
 @query(
     "graph_validate",
-    f"""{_graph_sql()}, live AS (SELECT * FROM nodes WHERE NOT utility)
+    f"""{_graph_sql()}, live AS (SELECT id, kind, CASE WHEN kind = 'Event' THEN ' ' ELSE filePath END AS filePath, CASE WHEN ambiguous THEN 0 ELSE line END AS line, kind = 'Endpoint' AND module = 'BUILDING' AS dull, rootKind FROM nodes WHERE NOT utility
+      UNION ALL SELECT id, kind, filePath, line, false, rootKind FROM nodes WHERE kind = 'Table')
     SELECT rule, count(*) AS n FROM (
       SELECT DISTINCT 'dangling-fromId' AS rule, fromId AS subject FROM edges WHERE fromId NOT IN (SELECT id FROM live)
-      UNION ALL SELECT DISTINCT 'dangling-toId', toId FROM edges WHERE toId NOT IN (SELECT id FROM live)) GROUP BY rule""",
+      UNION ALL SELECT DISTINCT 'dangling-toId', toId FROM edges WHERE toId NOT IN (SELECT id FROM live)
+      UNION ALL SELECT 'blank-file', id FROM live WHERE trim(filePath) = '' UNION ALL SELECT 'no-line', id FROM live WHERE line <= 0
+      UNION ALL SELECT 'utility-root', id FROM live WHERE dull AND rootKind <> 'None' UNION ALL SELECT 'repeated-id', id FROM live GROUP BY id HAVING count(*) > 1) GROUP BY rule""",
 )
 def graph_validate(spark, sf_dir):
+    """Every rule, over a graph that breaks each of them."""
     g = _graph(spark, sf_dir)
-    broken = Graph(g.nodes.where("not utility"), g.edges)
+    n = g.nodes.where("not utility").withColumn("filePath", F.when(F.col("kind") == "Event", " ").otherwise(F.col("filePath"))).withColumn("line", F.when(F.col("ambiguous"), 0).otherwise(F.col("line")))
+    n = n.withColumn("utility", (F.col("kind") == "Endpoint") & (F.col("module") == "BUILDING"))
+    broken = Graph(n.unionByName(g.nodes.where("kind = 'Table'")), g.edges)
     return problems(broken).groupBy("rule").agg(F.count("*").alias("n"))
 
 
@@ -359,17 +365,6 @@ def method_layer_pivot(spark, sf_dir):
 # --- diagrams ------------------------------------------------------------------------------------
 
 
-@query(
-    "interface_sibling_drop",
-    """WITH n(id, displayName) AS (VALUES ('1', 'IOrders.Get'), ('2', 'Orders.Get'), ('3', 'IStock.Take'), ('4', 'Items.Put'), ('5', 'Index.Put'), ('6', 'ICart.Put')),
-    m AS (SELECT id, regexp_matches(displayName, '^I[A-Z]') AS i, regexp_replace(displayName, '^.*[.]', '') AS member FROM n)
-    SELECT id FROM (SELECT id, i, count(*) OVER (PARTITION BY member) AS c, count(*) FILTER (i) OVER (PARTITION BY member) AS k FROM m) WHERE i AND k < c""",
-)
-def interface_sibling_drop(spark, sf_dir):
-    rows = [("1", "IOrders.Get"), ("2", "Orders.Get"), ("3", "IStock.Take"), ("4", "Items.Put"), ("5", "Index.Put"), ("6", "ICart.Put")]
-    return contract.interface_siblings(spark.createDataFrame(rows, "id string, displayName string").withColumn("qid", F.lit("q")), "qid").select("id")
-
-
 @query(
     "contracted_edges",
     f"""{_SUB}, kept AS (SELECT id FROM seen WHERE NOT utility AND kind IN ('Endpoint', 'Handler', 'Repository', 'Table', 'Event', 'ExternalCall')),
@@ -513,41 +508,6 @@ def slugify(spark, sf_dir):
     return fixtures.table(spark, sf_dir, "pages").select("page_id", X.slug(F.col("url")).alias("slug"))
 
 
-_TYPES = {"float[]": "Single[]", "Single[]": "Single[]", "Ns.Type<T>": "Type", "Ns.Type`1": "Type", "string": "String", " int ": "Int32", "A.B.Order[][]": "Order[][]"}
-
-
-@query("type_normalise", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _TYPES.items()) + ") t(written, name)")
-def type_normalise(spark, sf_dir):
-    return spark.createDataFrame([(t,) for t in _TYPES], "written string").select("written", X.normal_type("written").alias("name"))
-
-
-_LINES = {
-    "   at Shop.Stock.Reserve(Int32 count, String[] names) in /src/Stock.cs:line 42": ("Shop.Stock.Reserve", "/src/Stock.cs", 42, 2),
-    "at Shop.Stock.<Take>d__4.MoveNext() in /src/Stock.cs:line 7": ("Shop.Stock.Take", "/src/Stock.cs", 7, 0),
-    "at Shop.Cart.<>c.<Sum>b__0_1(Item i)": ("Shop.Cart.Sum", "", 0, 1),
-    "at Shop.Cart.<Run>g__Local|3_0(Int32 a)": ("Shop.Cart.Run", "", 0, 1),
-    "at Shop.Box`1.Put[T](T item)": ("Shop.Box.Put", "", 0, 1),
-}
-
-
-@query("frame_parse", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v[0]}', '{v[1]}', {v[2]}, CAST({v[3]} AS BIGINT))" for k, v in _LINES.items()) + ") t(raw, \"key\", file, line, parameters)")
-def frame_parse(spark, sf_dir):
-    rows = spark.createDataFrame([(k,) for k in _LINES], "raw string").withColumn("f", X.parse_frame("raw"))
-    return rows.select("raw", "f.key", "f.file", "f.line", F.size("f.parameters").cast("long").alias("parameters"))
-
-
-@query("header_parse", "SELECT * FROM (VALUES ('Shop.Bad (0x80004005): no stock: 3', 'Shop.Bad', 'no stock: 3'), ('2020 warn: x', NULL, 'x'), ('System.Error: ', NULL, '')) t(raw, type, message)")
-def header_parse(spark, sf_dir):
-    rows = spark.createDataFrame([("Shop.Bad (0x80004005): no stock: 3",), ("2020 warn: x",), ("System.Error: ",)], "raw string")
-    return rows.select("raw", X.header_type(F.col("raw")).alias("type"), X.header_message(F.col("raw")).alias("message"))
-
-
-@query("diagnostic_site", "SELECT * FROM (VALUES ('warn: a b/c.cs:12', 'b/c.cs', 12), ('no place', '', 0), ('x y.cs: 7 ', 'y.cs', 7), ('z:q', '', 0)) t(text, file, line)")
-def diagnostic_site(spark, sf_dir):
-    rows = spark.createDataFrame([("warn: a b/c.cs:12",), ("no place",), ("x y.cs: 7 ",), ("z:q",)], "text string")
-    return rows.select("text", X.diagnostic_file(F.col("text")).alias("file"), X.diagnostic_line(F.col("text")).alias("line"))
-
-
 @query("selector_normalise", "SELECT page_id, replace(upper(trim(url)), '  ', ' ') AS selector FROM pages")
 def selector_normalise(spark, sf_dir):
     return fixtures.table(spark, sf_dir, "pages").select("page_id", X.selector(F.col("url")).alias("selector"))
@@ -561,7 +521,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("table", "access", F.col("c.column").alias("column"), F.array_join("c.mechanisms", "+").alias("mechanisms"), F.col("c.confidence").alias("confidence"))
 
 
-@query("flagship_table_columns")
+@query(
+    "flagship_table_columns",
+    f"""{_SUB}, {_access_sql('sub')}, {_CLAIMS}, claims AS (SELECT regexp_replace(substr(id, 8), '[.][^.]*$', '') AS tab, regexp_replace(id, '^.*[.]', '') AS "column", coalesce(mechanisms, '') AS mechanisms,
+      CASE WHEN direct THEN 'Direct' WHEN rowlevel THEN 'RowLevel' WHEN inferred THEN 'Inferred' ELSE 'SecondClass' END AS confidence FROM cols)
+    SELECT displayName AS "table", coalesce(access, '') AS access, c."column", c.mechanisms, c.confidence FROM seen LEFT JOIN access ON tid = id LEFT JOIN claims c ON c.tab = displayName WHERE kind = 'Table'""",
+)
 def flagship_table_columns(spark, sf_dir):
     return flagship(spark, sf_dir)
 

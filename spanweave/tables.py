@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,6 +26,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored_counted(df: DataFrame, name: str = "table") -> tuple[DataFrame, int]:
+    """``stored`` and the number of its rows, counted while they are written."""
+    seen = Observation()
+    out = stored(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` as a table of the shared folder."""
     path = fresh_path(df.sparkSession, name)
