@@ -6,7 +6,11 @@ The feature is a perceptual hash: the image is averaged to 32 x 32, the 8 x 8
 lowest cosine coefficients are taken, and each gives one bit, set if above
 their median.
 
-A null text counts as empty.  An empty payload is padded to one row of zeros.
+Defined cases: a null text counts as empty; an empty payload is padded to one
+row of zeros; equal texts, repeated rows among them, give equal values and a row
+each; an empty table gives an empty table; columns other than doc_id and text
+are not looked at, whatever their names.  A long text needs memory of a few
+times its size, one image at a time; the feature is summed band by band.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from spanweave.llm.common import materialise, utf8_spans
 
@@ -123,33 +128,19 @@ def _unfiltered(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
         return np.cumsum(rows, axis=0, dtype=np.uint8)
     if (kinds == 1).all():
         return np.cumsum(rows, axis=1, dtype=np.uint8)
-    out = np.empty_like(rows)
-    up = np.zeros(rows.shape[1], np.uint8)
-    for y, kind in enumerate(kinds.tolist()):
-        row = rows[y]
-        if kind == 0:
-            up = row
-        elif kind == 1:
-            up = np.cumsum(row, dtype=np.uint8)
-        elif kind == 2:
-            up = row + up
-        elif kind in (3, 4):  # each pixel needs the one before it
-            done, above, left, corner = bytearray(len(row)), up.tolist(), 0, 0
-            for x, v in enumerate(row.tolist()):
-                b = above[x]
-                if kind == 3:
-                    v += (left + b) >> 1
-                else:
-                    p = left + b - corner
-                    pa_, pb, pc = abs(p - left), abs(p - b), abs(p - corner)
-                    v += left if pa_ <= pb and pa_ <= pc else b if pb <= pc else corner
-                done[x] = left = v & 255
-                corner = b
-            up = np.frombuffer(bytes(done), np.uint8)
-        else:
-            raise BadMedia(f"row filter {kind}")
-        out[y] = up
-    return out
+    if (kinds > 4).any():
+        raise BadMedia(f"row filter {int(kinds.max())}")
+    # each pixel needs the one before it, the one above and the corner, so the
+    # pixels of a diagonal (column + row) are done together
+    h, w = rows.shape
+    done = np.zeros((h + 1, w + 1), np.int16)  # a row above and a column before, of zeros
+    for d in range(h + w - 1):
+        y = np.arange(max(0, d - w + 1), min(h, d + 1))
+        x = d - y
+        left, up, corner, kind = done[y + 1, x], done[y, x + 1], done[y, x], kinds[y]
+        guess = np.select([kind == 1, kind == 2, kind == 3, kind == 4], [left, up, (left + up) >> 1, _paeth(left, up, corner)], 0)
+        done[y + 1, x + 1] = (rows[y, x] + guess) & 255
+    return done[1:, 1:].astype(np.uint8)
 
 
 def _area(size: int, to: int) -> np.ndarray:
@@ -168,10 +159,25 @@ def _basis(size: int, side: int = 32, keep: int = 8) -> np.ndarray:
     return cosine @ _area(size, side)
 
 
+def _cells(image: np.ndarray, side: int = 32) -> np.ndarray:
+    """(side, columns): the rows averaged to ``side`` bands, without a copy of
+    the image; a row that two bands share counts for each by its part."""
+    h = len(image)
+    edge = np.arange(side + 1) * h / side
+    whole = np.minimum(edge.astype(np.int64), h - 1)
+    total = np.add.reduceat(image, whole[:-1], axis=0, dtype=np.float64)
+    total[whole[:-1] == whole[1:]] = 0  # no row ends in such a band
+    if whole[-2] == whole[-1]:
+        total[-1] = 0
+    else:  # the last band goes to the end, its last row is added below
+        total[-1] -= image[-1]
+    part = (edge - whole)[:, None] * image[whole]
+    return (total + part[1:] - part[:-1]) * (side / h)
+
+
 def cosine_hash(image: np.ndarray) -> str:
     """16 hex digits: bit (u, v) is set if that coefficient is above the median."""
-    h, w = image.shape
-    low = np.round(_basis(h) @ (image.astype(np.float64) @ _basis(w).T), 6).ravel()
+    low = np.round(_basis(32) @ _cells(image) @ _basis(image.shape[1]).T, 6).ravel()
     bits = low > np.median(low)
     return np.packbits(bits).tobytes().hex()
 
@@ -190,7 +196,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def encode_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each whole text as a gray PNG 64 pixels wide."""
-    return docs.select("doc_id", "text").mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
