@@ -7,14 +7,18 @@ text that switches language is labelled run by run.  Posteriors are exact
 (scaled forward-backward).  A document's language is the label with the largest
 mean posterior over its words with letters; that mean is the score.
 
-The model is fitted on a bounded sample: at most PER_LANGUAGE labelled texts of
-each language, chosen by a hash of the id, always as whole texts.  Training
+The model is fitted on a bounded sample: about PER_LANGUAGE labelled texts of
+each language and TRAIN_WORDS words of all, in the order of a hash of the id,
+always as whole texts, of the MOST_LABELS most frequent languages.  Training
 sequences mix runs of different languages, which is what the transitions learn
 from.
 
 Defined cases: a null text or one without letters is ``und`` with score 0; so
 is every text if there is nothing to learn from; rows with a null id or a null
-lang are predicted, but not learned from; ties go to the smaller label.
+lang are predicted, but not learned from; ties go to the smaller label;
+repeated rows each get a row; an empty table gives an empty table; a long text
+is one sequence, labelled whole, and needs memory in proportion; columns of any
+other name are kept by ``keep_identified`` and do not clash.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ from spanweave.llm.common import release, slices, unused, utf8_spans
 
 #: Bound of the training sample, texts of one language; and words of all.
 PER_LANGUAGE, TRAIN_WORDS = 150, 600_000
+#: Labels that are learned at most, the most frequent ones.
+MOST_LABELS = 256
 #: Buckets of the n-gram features; bytes of text labelled at once.
 BUCKETS, BLOCK = 1 << 15, 1 << 20
 ROUNDS, RUN = 30, 40
@@ -263,18 +269,17 @@ def held_out(doc_id: Column) -> Column:
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
     """At most about ``per_language`` whole texts of each language."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LABELS).collect()}
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, per_language / n))])
-    taken = known.where(_unit(F.col("doc_id")) < F.element_at(share, F.col("lang")))
-    taken = taken.select("lang", "text", "doc_id").limit(2 * per_language * len(counts))
-    rows = sorted((r["lang"], r["doc_id"], r["text"]) for r in taken.collect())
+    taken = known.withColumn("_u", _unit(F.col("doc_id"))).where(F.col("_u") < F.try_element_at(share, F.col("lang")))
+    taken = taken.orderBy("_u", "doc_id", "lang", "text").limit(2 * per_language * len(counts)).collect()
     out, left = [], {lang: TRAIN_WORDS // len(counts) for lang in counts}
-    for lang, _, text in sorted(rows, key=lambda r: (r[0], len(r[2]), r[1])):
-        if left[lang] > 0:
-            out.append((text, lang))
-            left[lang] -= len(text.split())
+    for r in sorted(taken, key=lambda r: r["lang"]):  # keeps the order within a language
+        if left[r["lang"]] > 0:
+            out.append((r["text"], r["lang"]))
+            left[r["lang"]] -= len(r["text"].split())
     return out
 
 
