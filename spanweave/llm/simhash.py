@@ -5,13 +5,17 @@ of one depth together, adds up the bits in which their paths differ and drops
 a pair as soon as that exceeds the budget; what is left at the leaves are the
 links.  The trie is cut below its top bits (the most balanced ones), and every
 pair of subtrees that is within the budget is one unit of distributed work, so
-no unit holds more than two subtrees.  Equal fingerprints are one leaf, and a
+no unit holds more than two subtrees.  The top bits are those that cut a sample
+of PLAN fingerprints into the most even parts together; which bits they are
+changes the work, never the links.  Equal fingerprints are one leaf, and a
 unit returns a spanning forest of its links, never all pairs of a group.
 
 Defined cases: a text without words (null, empty, blank) has fingerprint zero
 and links like any other; rows with equal text or repeated rows share a
 fingerprint; a null doc_id takes part, but is the component's id only if no
-member has an id.
+member has an id; an empty table gives an empty table; a long text is hashed
+whole; columns other than doc_id and text are not looked at, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ from spanweave.llm.components import components
 
 #: Fingerprints of a subtree on average, and leaves that are compared outright.
 SUBTREE, LEAF = 16_000, 8
+#: Fingerprints by which the top bits are chosen.
+PLAN = 20_000
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -67,7 +73,7 @@ def _fingerprints(width: int):
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) of every whole text."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints(width), "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints(width), "doc_id long, fp long")
 
 
 # --- the trie -----------------------------------------------------------------
@@ -178,13 +184,30 @@ def _swap(fps: np.ndarray, order: list[int]) -> np.ndarray:
     return out
 
 
+def _even_bits(fps: np.ndarray, top: int) -> list[int]:
+    """All bits, first ``top`` that part the fingerprints most evenly together,
+    one by one: that with the least sum of squared part sizes is next."""
+    part, chosen = np.zeros(len(fps), np.int64), []
+    for _ in range(top):
+        best = None
+        for bit in (b for b in range(64) if b not in chosen):
+            both = part * 2 + (fps >> np.uint64(bit) & np.uint64(1)).astype(np.int64)
+            size = np.bincount(np.unique(both, return_inverse=True)[1]) if len(fps) else np.zeros(0)
+            cost = float((size.astype(np.float64) ** 2).sum())
+            if best is None or cost < best[0]:
+                best = (cost, bit, both)
+        chosen.append(best[1])
+        part = np.unique(best[2], return_inverse=True)[1] if len(fps) else part
+    return chosen + [b for b in range(64) if b not in chosen]
+
+
 def links(distinct: DataFrame, budget: int = 2) -> DataFrame:
     """(u, v): a forest whose components are those of all links between the
     distinct fingerprints ``fp`` that differ in at most ``budget`` bits."""
-    bits = [F.sum(F.getbit("fp", F.lit(k)).cast("long")).alias(f"b{k}") for k in range(64)]
-    n, *ones = distinct.agg(F.count("*"), *bits).first()
-    order = sorted(range(64), key=lambda k: (abs((ones[k] or 0) * 2 - n), k))
+    n = distinct.count()
     top = min(24, max(1, math.ceil(math.log2(max(2, n / SUBTREE)))))
+    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(PLAN).select("fp").collect()
+    order = _even_bits(np.array([r["fp"] for r in sample], np.int64).view(np.uint64), top)
     prefix = F.lit(0)
     for k in order[:top]:
         prefix = prefix * 2 + F.getbit("fp", F.lit(k)).cast("int")
@@ -227,7 +250,7 @@ def _with_components(prints: DataFrame, budget: int) -> DataFrame:
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("own")), "distinct")
     roots = materialise(components(links(distinct.select("fp"), budget)), "roots").select(F.col("node").alias("fp"), "root")
     linked = distinct.join(roots, "fp")
-    least = linked.groupBy("root").agg(F.min("own").alias("all"))
+    least = materialise(linked.groupBy("root").agg(F.min("own").alias("all")), "least")  # a table, as ``whole`` below
     whole = distinct.join(linked.join(least, "root").select("fp", "all"), "fp", "left").select("fp", F.coalesce("all", "own").alias("least"))
     whole = materialise(whole, "groups")  # a table, so that the rows of one fingerprint can be split over tasks
     return prints.join(whole, "fp")
