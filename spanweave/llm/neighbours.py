@@ -10,10 +10,12 @@ Equal vectors are one entry of the index with its least ids (no more than can
 appear in an answer), so a very common vector is no large leaf; queries with
 equal vectors are searched once.
 
-Fitted on at most SAMPLE vectors; every vector is indexed.  Defined cases:
+Fitted on at most MOST_SAMPLE vectors; every vector is indexed.  Defined cases:
 null, empty, zero vectors, vectors with null or non-finite components, with a
 null id, or of another length than most, take no part; rows that share an id
-and a vector are one; with fewer candidates than k all are returned.
+and a vector are one; with fewer candidates than k all are returned; an empty
+table gives an empty table; other columns are not looked at, whatever their
+names; ids and components of other number types are cast.
 """
 
 from __future__ import annotations
@@ -27,12 +29,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 from pyspark.sql.window import Window
 
 from spanweave.llm.common import materialise
 
-#: Vectors that the forest is fitted on, at most.
-SAMPLE = 20_000
+#: Vectors that the forest is fitted on: a SHARE of all, within these bounds,
+#: so that trees grow deeper with the index and leaves stay small.
+SHARE, SAMPLE, MOST_SAMPLE = 0.02, 20_000, 200_000
 TREES, LEAF = 8, 100
 #: Queries that are also answered exactly, to set how many leaves a query
 #: opens, and the share of their nearest neighbours that must be found.
@@ -121,7 +125,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, vec: the distinct rows that take part."""
-    v = vectors.select("vec_id", F.col("embedding").alias("vec")).where("vec_id is not null and vec is not null and size(vec) > 0")
+    single = isinstance(vectors.schema["embedding"].dataType, ArrayType) and isinstance(vectors.schema["embedding"].dataType.elementType, FloatType)
+    vec = F.col("embedding") if single else F.col("embedding").cast("array<double>")
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec")).where("vec_id is not null and vec is not null and size(vec) > 0")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
     v = v.where(~F.exists("vec", bad)).where(F.exists("vec", lambda x: x != 0))
     usual = v.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
@@ -280,7 +286,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, trees: int = TREES, leaf:
     classes = few.groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     classes = materialise(classes.select(F.element_at("ids", 1).alias("cid"), "vec", "ids"), "classes")
     n = classes.count()
-    sample = classes.orderBy(F.xxhash64(F.lit(6), "cid")).select("vec").limit(SAMPLE).toArrow()["vec"]
+    sample = classes.orderBy(F.xxhash64(F.lit(6), "cid")).select("vec").limit(min(MOST_SAMPLE, max(SAMPLE, int(SHARE * n)))).toArrow()["vec"]
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     forest = Forest(_matrix(sample), n, trees, leaf)
@@ -290,8 +296,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, trees: int = TREES, leaf:
     asking = classes.join(asked.select(F.col("qcid").alias("cid")).distinct(), "cid", "left_semi").select("cid", "vec")
     probes = leaves_to_open(classes, forest, k, recall)
     units = max(1, -(-n * forest.trees // UNIT))
-    entries = classes.select("cid", "vec").mapInArrow(_entries(sent, units), "unit long, tree int, leaf long, cid long, vec array<float>")
-    opened = asking.mapInArrow(_probes(sent, probes, units), "unit long, cid long, vec array<float>, tree array<int>, leaf array<bigint>")
+    vec = classes.schema["vec"].dataType.simpleString()
+    entries = classes.select("cid", "vec").mapInArrow(_entries(sent, units), f"unit long, tree int, leaf long, cid long, vec {vec}")
+    opened = asking.mapInArrow(_probes(sent, probes, units), f"unit long, cid long, vec {vec}, tree array<int>, leaf array<bigint>")
     found = opened.groupBy("unit").cogroup(entries.groupBy("unit")).applyInPandas(_rank(k + 1), "qcid long, cid long, score double")
     found = found.groupBy("qcid", "cid").agg(F.max("score").alias("score"))
     best = Window.partitionBy("qcid").orderBy(F.desc("score"), "cid")
