@@ -15,14 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the cluster names none (tests on one machine), a folder of our own
-    is set for this context, once.
+    Where none is named and the executors are this machine (tests), a folder of
+    our own is set for this context, once; on a cluster that is an error, since
+    executors could not see it.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
     at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spanweave-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")

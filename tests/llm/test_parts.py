@@ -253,3 +253,44 @@ def test_shards_resume(spark, tmp_path):
     for _, doc, seq, ids in all_:
         back.setdefault(doc, {})[seq] = ids.tobytes()
     assert {d: b"".join(p[i] for i in sorted(p)) for d, p in back.items()} == dict(rows)
+
+
+def test_posteriors_by_enumeration():
+    """Forward-backward against the sum over all label sequences."""
+    from itertools import product
+
+    from spanweave.llm.langid import Crf
+
+    rng = np.random.default_rng(5)
+    k, lengths = 3, np.array([4, 1, 6, 4])
+    model = Crf(["a", "b", "c"], np.zeros((1, k), np.float32), np.zeros(0, np.uint64), np.zeros((0, k), np.float32), rng.normal(size=(k, k)), rng.normal(size=k))
+    scores = rng.normal(size=(int(lengths.sum()), k))
+    post, pairs, first = model.posteriors(scores, lengths, learn=True)
+    want, want_pairs, want_first, at = np.zeros_like(scores), np.zeros((k, k)), np.zeros(k), 0
+    for n in lengths.tolist():
+        own, total, p, f = np.zeros((n, k)), 0.0, np.zeros((k, k)), np.zeros(k)
+        for path in product(range(k), repeat=n):
+            w = np.exp(model.first[path[0]] + sum(scores[at + i, x] for i, x in enumerate(path)) + sum(model.steps[x, y] for x, y in zip(path, path[1:], strict=False)))
+            total += w
+            f[path[0]] += w
+            for i, x in enumerate(path):
+                own[i, x] += w
+            for x, y in zip(path, path[1:], strict=False):
+                p[x, y] += w
+        want[at : at + n] = own / total
+        want_pairs += p / total
+        want_first += f / total
+        at += n
+    assert np.allclose(post, want) and np.allclose(pairs, want_pairs) and np.allclose(first, want_first)
+    assert np.allclose(model.posteriors(scores, lengths)[0], want)
+
+
+def test_even_bits():
+    """Bits that say the same are not both chosen."""
+    rng = np.random.default_rng(6)
+    fps = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    one = fps & np.uint64(1)
+    for b in range(1, 40):  # bits 0 .. 39 are one bit
+        fps = fps & ~(np.uint64(1) << np.uint64(b)) | one << np.uint64(b)
+    order = simhash._even_bits(fps, 5)
+    assert sorted(order) == list(range(64)) and sum(b < 40 for b in order[:5]) <= 1
