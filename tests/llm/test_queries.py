@@ -253,22 +253,42 @@ def test_licenses(spark, at, rows):
     n = len(rows)
     idf = lambda t: math.log((1 + n) / (1 + df[t])) + 1 if t in vocabulary else math.log(1 + n) + 1
     for r in rows:
-        best = (0.0, None)
+        best = (0.0, 0, "")
         folded = (r[1] or "").encode().translate(licenses._FOLD)
-        for unit in [*folded.split(b"\n"), folded]:
-            a = {t: c * idf(t) for t, c in Counter(unit.split()).items()}
+        words = folded.split()
+        units = [u.split() for u in folded.split(b"\n")] + [words]
+        for texts in licenses.TEMPLATES.values():  # where a copy around the rarest word would lie
+            for text in texts:
+                own = licenses.tokens(text.encode())
+                rare = max(own, key=lambda t: (idf(t), t))
+                units += [words[max(0, p - own.index(rare)) : p - own.index(rare) + len(own)] for p, t in enumerate(words) if t == rare]
+        for unit in units:
+            a = {t: c * idf(t) for t, c in Counter(unit).items()}
             for name, texts in sorted(licenses.TEMPLATES.items()):
                 for text in texts:
                     b = {t: c * idf(t) for t, c in Counter(licenses.tokens(text.encode())).items()}
                     dot = sum(x * b[t] for t, x in a.items() if t in b)
                     cos = round(dot / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values())), 9) if dot else 0.0
-                    if cos > best[0] or cos == best[0] and best[1] is not None and name < best[1]:
-                        best = (cos, name)
-        own = best[1] if best[0] >= licenses.THRESHOLD else None
+                    if dot:
+                        best = min(best, (cos, len(licenses.tokens(text.encode())), name), key=lambda x: (-x[0], -x[1], x[2]))
+        own = best[2] if best[0] >= licenses.THRESHOLD else None
         assert got[r[0]].own_license == own, r
     assert any(r.own_license for r in got.values())
 
 
+def test_license_units(spark):
+    """Wrapped headers, licences inside paragraphs, whole bodies; shared parts."""
+    from spanweave.llm import licenses
+
+    t = licenses.TEMPLATES
+    filler = " ".join(f"word{i}" for i in range(60))
+    bsd3, mit0, gpl = t["BSD-3-Clause"][0], t["MIT-0"][0], t["GPL-3.0-or-later"][0]
+    words = lambda x: "\n".join(" ".join(x.split()[i : i + 6]) for i in range(0, len(x.split()), 6))
+    files = [(1, "a/1", f"{filler} {t['LGPL-3.0'][0]} {filler}"), (2, "a/2", words(bsd3) + "\n" + filler), (3, "a/3", t["MIT"][2]), (4, "a/4", mit0), (5, "a/5", gpl), (6, "a/6", t["BSD-2-Clause"][1]), (7, "a/7", filler)]
+    got = {r.doc_id: r.own_license for r in licenses.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert got == {1: "LGPL-3.0", 2: "BSD-3-Clause", 3: "MIT", 4: "MIT-0", 5: "GPL-3.0-or-later", 6: "BSD-2-Clause", 7: None}
+
+
 def test_license_inheritance(spark):
     from spanweave.llm import licenses
 
