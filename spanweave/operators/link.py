@@ -35,11 +35,26 @@ FACTS: dict[str, str] = {
     "interceptor_writes": "interceptor string, entity string, evidence string",
     "table_locations": "module string, table string, file string, line int",
     "raw_sql_sites": "method_id string, text string, file string, line int",
+    "base_types": "clr_name string, base_clr string",
+    "members": "clr_name string, name string, file string, line int",
     "commits": "file string, sha string, subject string, seq int",
     "diagnostics": "text string",
 }
 MAX_PREFIXES = 8
 
+# Names by which calls on the database or on HTTP clients are known.
+WRITE_METHODS = (
+    "Add", "AddAsync", "AddRange", "AddRangeAsync", "Update", "UpdateRange", "Remove", "RemoveRange", "Attach", "AttachRange",
+    "ExecuteUpdate", "ExecuteUpdateAsync", "ExecuteDelete", "ExecuteDeleteAsync",
+)
+WHOLE_ROW_METHODS = ("Add", "AddAsync", "AddRange", "AddRangeAsync", "Update", "UpdateRange")
+SAVE_METHODS = ("SaveChanges", "SaveChangesAsync")
+RAW_SQL_METHODS = (
+    "ExecuteSql", "ExecuteSqlAsync", "ExecuteSqlRaw", "ExecuteSqlRawAsync", "ExecuteSqlInterpolated", "ExecuteSqlInterpolatedAsync",
+    "FromSqlRaw", "FromSqlInterpolated", "SqlQueryRaw", "SqlQuery", "CreateCommand",
+)
+HTTP_CLIENT_TYPES = ("System.Net.Http.HttpClient", "System.Net.Http.HttpMessageInvoker")
+
 
 def production(facts: dict[str, DataFrame]) -> DataFrame:
     """Methods that linking may use: no test code, one row per id."""
@@ -232,6 +247,42 @@ def walk_counters(invocations: DataFrame) -> DataFrame:
     )
 
 
+# --- what a call does ---------------------------------------------------------------------
+
+
+def base_chain(base_types: DataFrame) -> DataFrame:
+    """clr_name, ancestor, distance: each type with its base types, level by
+    level, itself at 0; types that only occur as a base are included."""
+    up = stored(base_types.select("clr_name", "base_clr").where("base_clr is not null").distinct(), "bases")
+    level = up.select("clr_name").union(up.select("base_clr")).distinct()
+    level = stored(level.select("clr_name", F.col("clr_name").alias("ancestor"), F.lit(0).alias("distance")), "chain")
+    known, distance = level, 0
+    while True:
+        distance += 1
+        new = level.select("clr_name", F.col("ancestor").alias("at")).join(up.select(F.col("clr_name").alias("at"), F.col("base_clr").alias("ancestor")), "at")
+        level = stored(new.select("clr_name", "ancestor").distinct().join(known, ["clr_name", "ancestor"], "left_anti").withColumn("distance", F.lit(distance)), "chain")
+        if level.isEmpty():  # also where base types run in a circle
+            return known
+        known = known.unionByName(level)
+
+
+def http_calls(calls: DataFrame, base_types: DataFrame) -> DataFrame:
+    """The calls (containing_type, ...) of methods that an HTTP client type, or
+    a type below one, declares."""
+    own = calls.sparkSession.createDataFrame([(t,) for t in HTTP_CLIENT_TYPES], "containing_type string")
+    below = base_chain(base_types).where(F.col("ancestor").isin(*HTTP_CLIENT_TYPES)).select(F.col("clr_name").alias("containing_type"))
+    return calls.join(own.unionByName(below).distinct(), "containing_type", "left_semi").select(calls.columns)
+
+
+def database_calls(calls: DataFrame) -> DataFrame:
+    """calls (name, on_context, on_set, ...) with ``does``: RawSql, Save or
+    Write, or null; and ``whole_row``.  Raw SQL is looked for first, then
+    saving on a context, then writes on either."""
+    name, any_ = F.col("name"), F.col("on_context") | F.col("on_set")
+    does = F.when(name.isin(*RAW_SQL_METHODS) & any_, "RawSql").when(name.isin(*SAVE_METHODS) & F.col("on_context"), "Save").when(name.isin(*WRITE_METHODS) & any_, "Write")
+    return calls.withColumn("does", does).withColumn("whole_row", F.coalesce((F.col("does") == "Write") & name.isin(*WHOLE_ROW_METHODS), F.lit(False)))
+
+
 # --- the data layer --------------------------------------------------------------------
 
 
@@ -298,6 +349,20 @@ def constructor_columns(facts: dict[str, DataFrame]) -> DataFrame:
     return own.join(made, "entity").select(F.col("by").alias("method_id"), "table", "column", "mechanism", "evidence")
 
 
+def locate_members(facts: dict[str, DataFrame]) -> DataFrame:
+    """clr_name, column, file, line: where the member behind a column is
+    declared, looked for up the base types: a complex member by the entity's
+    name of it first, then by its own."""
+    p = facts["ef_properties"].where("column is not null").select("clr_name", "column", "name", "complex_name").distinct()
+    tries = p.select("clr_name", "column", F.lit(0).alias("tier"), F.col("complex_name").alias("member")).unionByName(p.select("clr_name", "column", F.lit(1).alias("tier"), F.col("name").alias("member"))).where("member is not null")
+    chain = base_chain(facts["base_types"]).where("distance > 0")
+    types = tries.select("clr_name", F.col("clr_name").alias("ancestor"), F.lit(0).alias("distance")).distinct().unionByName(chain.join(tries.select("clr_name").distinct(), "clr_name", "left_semi"))
+    members = facts["members"].where("line > 0").select(F.col("clr_name").alias("ancestor"), F.col("name").alias("member"), "file", "line")
+    hit = tries.join(types, "clr_name").join(members, ["ancestor", "member"])
+    best = hit.groupBy("clr_name", "column").agg(F.min(F.struct("tier", "distance", "file", "line")).alias("b"))
+    return best.select("clr_name", "column", "b.file", "b.line")
+
+
 def locate_tables(facts: dict[str, DataFrame]) -> DataFrame:
     """table, module, file, line: where the table is named, else its entity's
     own place; the first of several."""
@@ -345,7 +410,11 @@ def overlay(facts: dict[str, DataFrame], reached: DataFrame) -> tuple[DataFrame,
     named = resolved_columns(facts).select("method_id", "table", "column", "mechanism", "evidence")
     diagnostics = named.where("column is null").join(reached, "method_id", "left_semi").select(F.concat(F.lit("property written but not mapped to a column: "), "evidence").alias("text"))
     cols = named.where("column is not null").unionByName(constructor_columns(facts)).unionByName(row_columns(facts)).join(reached, "method_id", "left_semi")
-    cols = cols.join(places.where("file is not null").select("table", "module", "file", "line"), "table")
+    cols = cols.join(places.where("file is not null").select("table", "module", F.col("file").alias("t_file"), F.col("line").alias("t_line")), "table")
+    members = locate_members(facts).join(facts["ef_entities"].where("table is not null").select("clr_name", F.concat_ws(".", "schema", "table").alias("table")).distinct(), "clr_name")
+    members = members.groupBy("table", "column").agg(F.min(F.struct("file", "line")).alias("m"))
+    at = F.coalesce("m", F.struct(F.col("t_file").alias("file"), F.col("t_line").alias("line")))
+    cols = cols.join(members, ["table", "column"], "left").withColumn("at", at).select("method_id", "table", "column", "mechanism", "evidence", "module", "at.file", "at.line")
     col = F.concat(F.lit("column:"), F.col("table"), F.lit("."), F.col("column"))
     edges = edges.unionByName(edge(cols.where("column <> '*'"), F.col("method_id"), col, "Writes", F.col("mechanism"), F.col("evidence")))
     edges = edges.unionByName(edge(cols.where("column <> '*'"), col, tab, "MapsTo", "EfModelMapping", F.lit(None).cast("string")))

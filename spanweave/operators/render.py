@@ -187,6 +187,36 @@ def triage_report(t, trace_id: str) -> str:
     return f"# {title}\n\n" + "\n\n".join(f"## {h}\n\n{x}" for h, x in parts) + "\n"
 
 
+def eval_json(metrics: DataFrame, evidence: DataFrame, categories: DataFrame, boxes: DataFrame, meta: DataFrame, results: DataFrame, unresolved: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """section, n, json: the rows of a scored run as JSON, one row each, in
+    the order of the sections and of their rows."""
+    parts = {
+        "metrics": (metrics, ["ordinal", "scope"]), "evidence": (evidence, []), "categories": (categories, ["class"]), "predictions": (boxes, ["row", "realised"]), "meta": (meta, ["family", "number"]),
+        "questions": (results, ["qid"]), "unresolved": (unresolved, ["id"]), "verdicts": (verdicts, ["verdict"]),
+    }
+    return _json_rows(parts)
+
+
+def triage_json(t) -> DataFrame:
+    """section, trace_id, n, json: the rows of all incidents as JSON."""
+    parts = {
+        "headers": (t.headers, []), "points": (t.points, []), "reasons": (t.reasons, []), "counts": (t.counts, []), "frames": (t.frames, ["idx"]), "links": (t.links, ["callee"]),
+        "diagnostics": (t.diagnostics, ["line", "text"]), "limitations": (t.limitations.withColumnRenamed("qid", "trace_id"), ["code"]), "tables": (t.forward.tables.withColumnRenamed("qid", "trace_id"), ["table"]),
+        "entryPoints": (t.backward.entry_points.withColumnRenamed("qid", "trace_id"), ["ordinal"]),
+    }
+    return _json_rows(parts, "trace_id")
+
+
+def _json_rows(parts: dict[str, tuple[DataFrame, list[str]]], key: str | None = None) -> DataFrame:
+    out = None
+    for name, (df, order) in parts.items():
+        own = [key] if key else []
+        n = F.row_number().over(Window.partitionBy(*(own or [F.lit(0)])).orderBy(*(order or [F.lit(0)])))
+        rows = df.select(F.lit(name).alias("section"), *own, n.alias("n"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def trace_text(answer) -> str:
     """A traced flow as text: nodes by kind, then the data layer."""
     out = []

@@ -45,6 +45,8 @@ FACTS: dict[str, str] = {
     "external_calls": "SELECT 's' || s_suppkey AS method_id, 'Shop.M' || (s_suppkey % 5) || '.Mail' || s_nationkey AS caller_clr, 'post' AS evidence, 'supplier.cs' AS file, s_suppkey + 1 AS line FROM {supplier}",
     "interceptor_writes": f"SELECT DISTINCT 'Audit' AS interceptor, {_ENTITY} AS entity, 'audit ' || p_brand AS evidence FROM {{part}}",
     "table_locations": "SELECT DISTINCT 'M' || (p_partkey % 5) AS module, lower(p_brand) || (p_partkey % 5) AS tbl, 'map.cs' AS file, 1 + p_partkey % 5 AS line FROM {part} WHERE p_brand NOT LIKE '%5'",
+    "base_types": f"SELECT DISTINCT {_ENTITY} AS clr_name, 'Shop.M' || (p_partkey % 5) || '.Base' AS base_clr FROM {{part}} UNION ALL SELECT 'Shop.M' || r_regionkey || '.Base', 'Shop.Kernel' FROM {{region}}",
+    "members": f"SELECT DISTINCT {_ENTITY} AS clr_name, 'Size' AS name, 'entity.cs' AS file, 1 + p_partkey % 5 AS line FROM {{part}} WHERE p_brand LIKE '%2' UNION ALL SELECT DISTINCT {_ENTITY}, 'LARGE', 'entity.cs', 9 FROM {{part}} WHERE p_brand LIKE '%1' UNION ALL SELECT 'Shop.M' || r_regionkey || '.Base', 'PROMO', 'base.cs', r_regionkey FROM {{region}} UNION ALL SELECT 'Shop.Kernel', x, 'kernel.cs', 3 FROM (SELECT DISTINCT p_type AS x FROM {{part}} WHERE p_type <> 'MEDIUM') k",
     "raw_sql_sites": "SELECT 's' || s_suppkey AS method_id, 'select' AS text, 'raw.cs' AS file, s_suppkey + 1 AS line FROM {supplier} WHERE s_acctbal < 0",
 }
 _NAMES = {"tbl": "table", "col": "column", "sch": "schema"}
@@ -211,6 +213,38 @@ def link_table_locations(spark, sf_dir):
     return link.locate_tables(facts(spark, sf_dir)).select("table", "module", place.alias("place"))
 
 
+@query(
+    "link_member_locations",
+    f"""{_with("ef_properties", "base_types", "members")}, chain AS (SELECT DISTINCT clr_name, clr_name AS anc, 0 AS d FROM base_types UNION SELECT clr_name, base_clr, 1 FROM base_types UNION SELECT b.clr_name, c.base_clr, 2 FROM base_types b JOIN base_types c ON c.clr_name = b.base_clr),
+    tries AS (SELECT clr_name, col, 0 AS tier, complex_name AS member FROM ef_properties WHERE complex_name IS NOT NULL UNION SELECT clr_name, col, 1, name FROM ef_properties),
+    hit AS (SELECT t.clr_name, t.col, m.file || ':' || m.line AS place, row_number() OVER (PARTITION BY t.clr_name, t.col ORDER BY tier, d) AS n FROM tries t JOIN chain c USING (clr_name) JOIN members m ON m.clr_name = c.anc AND m.name = t.member WHERE m.line > 0)
+    SELECT clr_name, col AS "column", place FROM hit WHERE n = 1""",
+)
+def link_member_locations(spark, sf_dir):
+    """Members behind columns, looked for up the base types."""
+    return link.locate_members(facts(spark, sf_dir)).select("clr_name", "column", F.concat("file", F.lit(":"), F.col("line").cast("string")).alias("place"))
+
+
+_NAMED = "CASE p_partkey % 9 WHEN 0 THEN 'Add' WHEN 1 THEN 'RemoveRange' WHEN 2 THEN 'ExecuteUpdateAsync' WHEN 3 THEN 'SaveChanges' WHEN 4 THEN 'SqlQuery' WHEN 5 THEN 'Find' WHEN 6 THEN 'Update' WHEN 7 THEN 'CreateCommand' ELSE 'SaveChangesAsync' END"
+
+
+@query(
+    "database_call_kinds",
+    f"WITH c AS (SELECT {_NAMED} AS name, p_partkey % 9 AS k, p_size % 3 = 0 AS ctx, p_size % 3 = 1 AS st FROM part), d AS (SELECT *, CASE WHEN k IN (4, 7) AND (ctx OR st) THEN 'RawSql' WHEN k IN (3, 8) AND ctx THEN 'Save' WHEN k IN (0, 1, 2, 6) AND (ctx OR st) THEN 'Write' END AS does FROM c) SELECT name, does, coalesce(does = 'Write' AND k IN (0, 6), false) AS whole_row, count(*) AS n FROM d GROUP BY ALL",
+)
+def database_call_kinds(spark, sf_dir):
+    calls = fixtures.table(spark, sf_dir, "part").select(F.expr(_NAMED).alias("name"), (F.col("p_size") % 3 == 0).alias("on_context"), (F.col("p_size") % 3 == 1).alias("on_set"))
+    return link.database_calls(calls).groupBy("name", "does", "whole_row").agg(F.count("*").alias("n"))
+
+
+@query("http_calls", "SELECT p_partkey AS k FROM part WHERE p_partkey % 4 < 3")
+def http_calls(spark, sf_dir):
+    """Calls on HTTP clients: the type itself, a type below it, and one below that."""
+    kind = F.expr("CASE p_partkey % 4 WHEN 0 THEN 'System.Net.Http.HttpClient' WHEN 1 THEN 'Shop.Client' WHEN 2 THEN 'Shop.OwnClient' ELSE 'Shop.Other' END")
+    bases = spark.createDataFrame([("Shop.Client", "System.Net.Http.HttpMessageInvoker"), ("Shop.OwnClient", "Shop.Client"), ("Shop.Other", "Shop.Thing")], "clr_name string, base_clr string")
+    return link.http_calls(fixtures.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), kind.alias("containing_type")), bases).select("k")
+
+
 @query("link_model_tables", f"""{_with("ef_entities")} SELECT sch || '.' || tbl AS "table", min(clr_name) AS entity FROM ef_entities GROUP BY 1""")
 def link_model_tables(spark, sf_dir):
     return link.model_tables(facts(spark, sf_dir))
@@ -246,7 +280,8 @@ _BUILD = f"""{_with(*_ALL, recursive=True)}, {_DIRECT}, {_ENDS}, {_RAISED}, {_CO
 
 
 def _built(spark: SparkSession, sf_dir: str) -> Graph:
-    return link.build(facts(spark, sf_dir), budget=1 << 40)
+    """Built once a session, then read from its tables."""
+    return fixtures.stored_graph(spark, ("built", sf_dir), lambda: link.build(facts(spark, sf_dir), budget=1 << 40))
 
 
 @query("build_walk", f"{_BUILD} SELECT r.id, r.depth, r.id IN (SELECT id FROM truncated) AS truncated FROM reached r")

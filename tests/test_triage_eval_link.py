@@ -44,6 +44,8 @@ def test_triage(spark):
     assert t.diagnostics.first()["exact"] and t.history.count() == 5
     assert {r["trace_id"]: r["reason"] for r in t.reasons.collect()}["none"] == "no frame could be read"
     assert "Repo.Save" in render.triage_report(t, "t")
+    rows = {(r["section"], r["trace_id"], r["n"]): json.loads(r["json"]) for r in render.triage_json(t).collect()}
+    assert rows[("headers", "t", 1)]["message"] == "could not save: 3" and rows[("frames", "t", 2)]["verdict"] == "Matched" and rows[("reasons", "none", 1)]["reason"] == "no frame could be read"
 
 
 def test_link_verdicts(spark):
@@ -98,6 +100,9 @@ def test_evaluation(spark, tmp_path):
     assert len(meta) == 34 and meta["L16"] == ["q1"]
     boxes = {(x["row"], x["realised"]): x["n"] for x in evals.prediction_boxes(evals.predictions(q, r.results)).collect()}
     assert len(boxes) == 6 and boxes[("open", True)] == 1
+    parts = (evals.metric_rows(r.comparisons), evals.evidence_tally(r.evidence), evals.category_rows(q, r.results), evals.prediction_boxes(evals.predictions(q, r.results)), evals.meta_coverage(q), r.results, r.unresolved, evals.verdict_tally(r.results))
+    made = {(x["section"], x["n"]): json.loads(x["json"]) for x in render.eval_json(*parts).collect()}
+    assert made[("questions", 1)]["qid"] == "q1" and made[("unresolved", 1)]["id"] == "q3" and made[("evidence", 1)]["NotFound"] == 1
     assert "## Metrics" in render.eval_report(evals.metric_rows(r.comparisons), evals.evidence_tally(r.evidence), evals.category_rows(q, r.results), evals.prediction_boxes(evals.predictions(q, r.results)), evals.meta_coverage(q), r.results, r.unresolved, evals.verdict_tally(r.results))
 
 
@@ -146,6 +151,29 @@ def test_build_from_facts(spark, tmp_path):
     assert store.read_facts(spark, str(tmp_path))["methods"].count() == 5
 
 
+def test_caps_are_reported(spark):
+    """More prefixes than are kept, and a walk over its budget."""
+    f = facts(spark)
+    many = [("Shop.Host.Run()", "Shop.Api.Map()", "Root", f"/p{i:02}", "Host.cs", 1) for i in range(12)] + [("Shop.Api.Map()", "Shop.Api.Map()", "Parameter", "/again", "Api.cs", 2)]
+    f["propagations"] = spark.createDataFrame(many, link.FACTS["propagations"])
+    kept, over = link.route_prefixes(f["propagations"], f["implementations"])
+    assert sorted(r["prefix"] for r in kept.collect()) == sorted((f"/p0{i}" + "/again" * k for i in range(8) for k in range(8)))[:8]
+    assert [r["method"] for r in over.collect()] == ["Shop.Api.Map()"]
+    texts = {r["text"] for r in link.build(f).diagnostics.collect()}
+    assert "more than 8 route prefixes, the others are left out: Shop.Api.Map()" in texts and not any("budget" in t for t in texts)
+    assert "the walk ended at its budget of 3 nodes" in {r["text"] for r in link.build(f, budget=3).diagnostics.collect()}
+    hops = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 1) for i in range(6)], "src string, dst string, cost int")
+    found, spent = link.walk(hops, spark.createDataFrame([("n0",)], "id string"), budget=3)
+    assert spent and {(r["id"], r["truncated"]) for r in found.collect()} == {("n0", False), ("n1", False), ("n2", True)}
+    found, spent = link.walk(hops, spark.createDataFrame([("n0",)], "id string"), max_depth=2)
+    assert not spent and {(r["id"], r["truncated"]) for r in found.collect()} == {("n0", False), ("n1", False), ("n2", True)}
+
+
+def test_members_up_the_base_types(spark):
+    bases = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "A")], "clr_name string, base_clr string")  # a circle ends
+    assert {(r["clr_name"], r["ancestor"], r["distance"]) for r in link.base_chain(bases).where("clr_name = 'A'").collect()} == {("A", "A", 0), ("A", "B", 1), ("A", "C", 2)}
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("WR", "src/Modules/Orders/X.Orders.Domain/x.csproj", "X.Orders.Domain", "{\"libraries\"")], "a string, p string, n string, j string")
     p = text.project_facts(df["p"], df["n"])
