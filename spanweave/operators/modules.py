@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spanweave.model import Graph, location, ordinal
 from spanweave.operators.answers import diagnostics_for_files
@@ -23,6 +24,10 @@ def layer_of(node_id: Column, root: str | None = None) -> Column:
     return F.when(node_id.rlike("^(endpoint|table|column):"), "Api").when(fits, F.try_element_at(parts, F.lit(3))).otherwise("?")
 
 
+#: Evidence texts of an edge between modules that are kept with it.
+EVIDENCE = 50
+
+
 def _cross(graph: Graph) -> DataFrame:
     f = graph.nodes.select(F.col("id").alias("fromId"), F.col("module").alias("from"), F.col("displayName").alias("fromName"))
     t = graph.nodes.select(F.col("id").alias("toId"), F.col("module").alias("to"), F.col("displayName").alias("toName"), location(F.col("filePath"), F.col("line")).alias("place"))
@@ -30,12 +35,25 @@ def _cross(graph: Graph) -> DataFrame:
 
 
 def dependencies(graph: Graph, root: str | None = None) -> DataFrame:
-    """from, to, kind, n, evidence of each edge between modules; edges into the
-    shared module are counted apart."""
+    """from, to, kind, n, distinct_evidence, evidence of each edge between
+    modules; edges into the shared module are counted apart.
+
+    evidence: the first EVIDENCE texts, as a page shows them; all of them are
+    the rows of ``evidence_rows``.
+    """
+    e = evidence_rows(graph, root).groupBy("from", "to", "kind", "evidence").agg(F.count("*").alias("n"))
+    n = e.groupBy("from", "to", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("distinct_evidence"))
+    first = F.row_number().over(Window.partitionBy("from", "to", "kind").orderBy("evidence"))  # a top-k, cut in each partition before the shuffle
+    few = e.withColumn("_n", first).where(F.col("_n") <= EVIDENCE).groupBy("from", "to", "kind").agg(F.array_sort(F.collect_list("evidence")).alias("evidence"))
+    return n.join(few, ["from", "to", "kind"]).withColumn("ordinal", ordinal(F.col("kind"), "ModuleEdgeKind"))
+
+
+def evidence_rows(graph: Graph, root: str | None = None) -> DataFrame:
+    """from, to, kind, evidence: one row for each edge between modules."""
     kind = F.when(F.col("kind").isin("Publishes", "Consumes"), "Event").when(F.col("kind") == "Calls", F.when(layer_of(F.col("toId"), root) == "Contracts", "Contract").otherwise("Direct"))
     e = _cross(graph).where(F.col("to") != SHARED).withColumn("kind", kind).where("kind is not null")
     text = F.concat("fromName", F.lit(" -> "), "toName", F.lit(" ("), "place", F.lit(")"))
-    return e.groupBy("from", "to", "kind").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(text)).alias("evidence")).withColumn("ordinal", ordinal(F.col("kind"), "ModuleEdgeKind"))
+    return e.select("from", "to", "kind", text.alias("evidence"))
 
 
 def shared_dependents(graph: Graph) -> DataFrame:

@@ -325,7 +325,7 @@ _CROSS = """x AS (SELECT f.module AS "from", t.module AS "to", CASE WHEN e.kind
 
 @query("module_dependencies", f'{_graph_sql()}, {_CROSS} SELECT "from", "to", kind, count(*) AS n, count(DISTINCT evidence) AS evidence FROM x WHERE kind IS NOT NULL GROUP BY ALL')
 def module_dependencies(spark, sf_dir):
-    return modules.dependencies(_graph(spark, sf_dir)).select("from", "to", "kind", "n", F.size("evidence").cast("long").alias("evidence"))
+    return modules.dependencies(_graph(spark, sf_dir)).select("from", "to", "kind", "n", F.col("distinct_evidence").alias("evidence"))
 
 
 @query(
@@ -376,7 +376,16 @@ def contracted_edges(spark, sf_dir):
     return contract.flow_diagram(Graph(g.nodes, g.edges), _from(g)).edges.select("fromId", "toId")
 
 
-@query("flow_diagram_edges")
+@query(
+    "flow_diagram_edges",
+    f"""{_SUB}, kept AS (SELECT id FROM seen WHERE NOT utility AND kind IN ('Endpoint', 'Handler', 'Repository', 'Table', 'Event', 'ExternalCall')),
+    steps AS (SELECT fromId, toId, CASE WHEN kind IN ('Publishes', 'Consumes') THEN 4 WHEN kind = 'Writes' THEN 3 WHEN kind = 'Reads' THEN 2 WHEN kind = 'MapsTo' THEN 1 ELSE 0 END AS w FROM sub),
+    found AS (SELECT fromId, toId, w, '' AS label FROM steps WHERE fromId IN (SELECT id FROM kept) AND toId IN (SELECT id FROM kept)
+      UNION ALL SELECT a.fromId, b.toId, greatest(a.w, b.w), CASE WHEN n.kind = 'Entity' THEN n.displayName ELSE '' END FROM steps a JOIN steps b ON b.fromId = a.toId JOIN seen n ON n.id = a.toId
+        WHERE a.fromId IN (SELECT id FROM kept) AND a.toId NOT IN (SELECT id FROM kept) AND b.toId IN (SELECT id FROM kept)),
+    ranked AS (SELECT *, CASE WHEN w = 4 THEN 'Async' WHEN w > 0 THEN 'Data' ELSE 'Call' END AS kind, row_number() OVER (PARTITION BY fromId, toId ORDER BY CASE WHEN w = 4 THEN 0 WHEN w > 0 THEN 1 ELSE 2 END, label) AS n FROM found WHERE fromId <> toId)
+    SELECT fromId, toId, kind, label, false AS ambiguous FROM ranked WHERE n = 1""",
+)
 def flow_diagram_edges(spark, sf_dir):
     g = _graph(spark, sf_dir)
     return contract.flow_diagram(g, _from(g)).edges.select("fromId", "toId", "kind", "label", "ambiguous")
