@@ -36,12 +36,17 @@ def hops(graph: Graph, direction: str = "Forward", kinds: tuple[str, ...] | None
     return e.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct().join(ids, "dst", "left_semi").select("src", "dst")
 
 
+def _adjacent(graph: Graph, direction: str, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """The stored hops of a graph, or those written now."""
+    known = graph.adjacency.get(direction) if kinds is None else None
+    return stored(hops(graph, direction, kinds), "hops") if known is None else known
+
+
 def reach(graph: Graph, starts: DataFrame, direction: str = "Forward", max_depth: int = 20, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """qid, id, depth (fewest hops) of all nodes within ``max_depth`` of the
     starts (qid, id).  An unknown start reaches nothing."""
-    spark = starts.sparkSession
     seeds = starts.select("qid", "id").distinct().join(graph.nodes.select("id"), "id", "left_semi").select("qid", "id")
-    adjacent = stored(hops(graph, direction, kinds), "hops")
+    adjacent = _adjacent(graph, direction, kinds)
     known = stored(seeds.withColumn("depth", F.lit(0)), "reach")
     frontier = known
     for depth in range(1, max_depth + 1):
@@ -124,7 +129,7 @@ def reached_sets(graph: Graph, ends: DataFrame, direction: str = "Backward", max
     """
     ends = ends.select("id").distinct().join(graph.nodes.select("id"), "id", "left_semi")
     numbered = stored(ends.withColumn("_k", F.monotonically_increasing_id()), "ends")
-    adjacent = stored(hops(graph, direction), "hops")
+    adjacent = _adjacent(graph, direction)
     word = numbered.select("id", F.shiftright("_k", 6).alias("word"), F.expr("shiftleft(1L, cast(_k & 63 as int))").alias("bits"))
     known = frontier = stored(word, "sets")
     for _ in range(max_depth):

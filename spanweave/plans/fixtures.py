@@ -6,12 +6,14 @@ Every operator has data this way, and SQL can build the same graph.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanweave.model import EDGE, NODE, Graph
+from spanweave.operators.traverse import hops
 from spanweave.tables import fresh_path
 
 
@@ -89,10 +91,10 @@ def stored_graph(spark: SparkSession, name: tuple, make: Callable[[], Graph]) ->
     stored tables."""
     at = (spark.sparkContext.applicationId, *name)
     try:
-        return load(spark, _BUILT[at])
+        return _with_hops(spark, _BUILT[at])
     except (KeyError, AnalysisException):  # not built yet, or no longer there
         _BUILT[at] = save(make(), spark)
-        return load(spark, _BUILT[at])
+        return _with_hops(spark, _BUILT[at])
 
 
 def stored_commerce(spark: SparkSession, sf_dir: str, cyclic: bool = False) -> Graph:
@@ -113,9 +115,16 @@ def save(graph: Graph, spark: SparkSession) -> str:
     graph.nodes.write.parquet(f"{path}/nodes")
     graph.edges.write.parquet(f"{path}/edges")
     graph.diagnostics.write.parquet(f"{path}/diagnostics")
+    made = load(spark, path)
+    for direction in ("Forward", "Backward"):
+        hops(made, direction).write.parquet(f"{path}/{direction}")
     return path
 
 
+def _with_hops(spark: SparkSession, path: str) -> Graph:
+    return replace(load(spark, path), adjacency={d: spark.read.parquet(f"{path}/{d}") for d in ("Forward", "Backward")})
+
+
 def load(spark: SparkSession, path: str) -> Graph:
     read = lambda name: spark.read.parquet(f"{path}/{name}")
     return Graph(read("nodes"), read("edges"), read("diagnostics"), "commerce")
