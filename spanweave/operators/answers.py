@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spanweave.model import DIRECT, Graph, TraversalQuery, column_name, column_table, first_site, location, ordinal, schema_of
 from spanweave.operators.traverse import Subgraph, subgraph
@@ -231,3 +232,11 @@ def widest_fan_out(edges: DataFrame) -> DataFrame:
 def edges_with_order(edges: DataFrame) -> DataFrame:
     """Edges with ``site``, their first call site."""
     return edges.withColumn("site", first_site(F.col("callSites")))
+
+
+def stats_lines(graph: Graph) -> DataFrame:
+    """group, place, line: counts as they are printed, in each group the largest
+    first, the name in 14 columns and the number in 6."""
+    rows = stats(graph)
+    place = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("n"), "name"))  # a group is one enumeration
+    return rows.select("group", place.alias("place"), F.format_string("%-14s %6d", "name", "n").alias("line"))

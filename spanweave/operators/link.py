@@ -53,6 +53,7 @@ RAW_SQL_METHODS = (
     "ExecuteSql", "ExecuteSqlAsync", "ExecuteSqlRaw", "ExecuteSqlRawAsync", "ExecuteSqlInterpolated", "ExecuteSqlInterpolatedAsync",
     "FromSqlRaw", "FromSqlInterpolated", "SqlQueryRaw", "SqlQuery", "CreateCommand",
 )
+CONTEXT_TYPE = "Microsoft.EntityFrameworkCore.DbContext"
 HTTP_CLIENT_TYPES = ("System.Net.Http.HttpClient", "System.Net.Http.HttpMessageInvoker")
 
 
@@ -274,6 +275,29 @@ def http_calls(calls: DataFrame, base_types: DataFrame) -> DataFrame:
     return calls.join(own.unionByName(below).distinct(), "containing_type", "left_semi").select(calls.columns)
 
 
+def discover_contexts(types: DataFrame, base_types: DataFrame) -> DataFrame:
+    """clr_name, file, line of the classes below the mapper's context type that
+    are not abstract and not test code; types: clr_name, is_abstract, is_test,
+    file, line.  A class declared in parts has its first place."""
+    below = base_chain(base_types).where((F.col("ancestor") == CONTEXT_TYPE) & (F.col("distance") > 0)).select("clr_name")
+    own = types.where("not is_abstract and not is_test").join(below, "clr_name", "left_semi")
+    return own.groupBy("clr_name").agg(F.min(F.struct("file", "line")).alias("at")).select("clr_name", "at.file", "at.line")
+
+
+def output_project(projects: DataFrame) -> DataFrame:
+    """name, problem: the application whose build output is read: the host if
+    there is one, else the first; projects: name, module, is_application,
+    is_test, output_path, built.  One row; a problem says why there is none."""
+    apps = projects.where("is_application and not is_test")
+    first = apps.agg(F.min_by(F.struct("name", "output_path", "built"), F.struct(F.col("module") != "Host", "name")).alias("p")).select("p.*")
+    problem = (
+        F.when(F.col("name").isNull(), "no application project")
+        .when(F.coalesce("output_path", F.lit("")) == "", F.concat("name", F.lit(" reports no output path")))
+        .when(~F.col("built"), F.concat("name", F.lit(" has not been built")))
+    )
+    return first.select("name", problem.alias("problem"))
+
+
 def database_calls(calls: DataFrame) -> DataFrame:
     """calls (name, on_context, on_set, ...) with ``does``: RawSql, Save or
     Write, or null; and ``whole_row``.  Raw SQL is looked for first, then

@@ -245,6 +245,17 @@ def http_calls(spark, sf_dir):
     return link.http_calls(fixtures.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), kind.alias("containing_type")), bases).select("k")
 
 
+@query("discover_contexts", "WITH t AS (SELECT 'Shop.Ctx' || s_nationkey AS clr_name, s_acctbal < 0 AS is_abstract, s_suppkey % 7 = 0 AS is_test, 's' || s_suppkey || '.cs' AS file, s_suppkey + 1 AS line, s_nationkey AS n FROM supplier WHERE true) SELECT clr_name, min(file) AS file, CAST(arg_min(line, file) AS INTEGER) AS line FROM t WHERE n % 3 <> 2 AND NOT is_abstract AND NOT is_test GROUP BY clr_name")
+def discover_contexts(spark, sf_dir):
+    """Context classes, at one and at two steps below the mapper's type."""
+    s = fixtures.table(spark, sf_dir, "supplier")
+    name = F.concat(F.lit("Shop.Ctx"), "s_nationkey")
+    types = s.select(name.alias("clr_name"), (F.col("s_acctbal") < 0).alias("is_abstract"), (F.col("s_suppkey") % 7 == 0).alias("is_test"), F.concat(F.lit("s"), "s_suppkey", F.lit(".cs")).alias("file"), (F.col("s_suppkey") + 1).cast("int").alias("line"))
+    base = F.expr("CASE s_nationkey % 3 WHEN 0 THEN 'Microsoft.EntityFrameworkCore.DbContext' WHEN 1 THEN 'Shop.Base' ELSE 'Shop.Thing' END")
+    bases = s.select(name.alias("clr_name"), base.alias("base_clr")).unionByName(spark.createDataFrame([("Shop.Base", link.CONTEXT_TYPE)], "clr_name string, base_clr string"))
+    return link.discover_contexts(types, bases)
+
+
 @query("link_model_tables", f"""{_with("ef_entities")} SELECT sch || '.' || tbl AS "table", min(clr_name) AS entity FROM ef_entities GROUP BY 1""")
 def link_model_tables(spark, sf_dir):
     return link.model_tables(facts(spark, sf_dir))

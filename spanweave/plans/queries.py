@@ -92,6 +92,14 @@ def graph_flags(spark, sf_dir):
     return answers.stats(_graph(spark, sf_dir)).where("`group` = 'flag'").select("name", "n")
 
 
+_LINES = "SELECT 'node' AS grp, kind AS name, count(*) AS n FROM nodes GROUP BY kind UNION ALL SELECT 'edge', kind, count(*) FROM edges GROUP BY kind UNION ALL SELECT 'mechanism', mechanism, count(*) FROM edges WHERE mechanism <> 'None' GROUP BY mechanism"
+
+
+@query("stats_print_order", f"""{_graph_sql()}, s AS ({_LINES}) SELECT grp, CAST(row_number() OVER (PARTITION BY grp ORDER BY n DESC, name) AS INTEGER) AS place, format('{{:<14}} {{:>6}}', name, n) AS line FROM s""")
+def stats_print_order(spark, sf_dir):
+    return answers.stats_lines(_graph(spark, sf_dir)).where("`group` <> 'flag'").select(F.col("group").alias("grp"), "place", "line")
+
+
 @query(
     "graph_validate",
     f"""{_graph_sql()}, live AS (SELECT id, kind, CASE WHEN kind = 'Event' THEN ' ' ELSE filePath END AS filePath, CASE WHEN ambiguous THEN 0 ELSE line END AS line, kind = 'Endpoint' AND module = 'BUILDING' AS dull, rootKind FROM nodes WHERE NOT utility
