@@ -220,3 +220,20 @@ def test_stream_of_edges(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         refresh.follow(spark, str(tmp_path / "in"), str(tmp_path / "check"), refresh.append_to(str(tmp_path / "out"))).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_mentions(spark):
+    """Texts that hold a file anywhere, whatever the case: short names, blanks, ends inside words."""
+    texts = ["Warn A/b.CS:12", "x my file.cs: 3", "prefixa/b.csx", "nothing", "é.c", "long/path/to/some/very/deep/Handler.cs:1", "c"]
+    files = ["a/b.cs", "my file.cs", "é.c", "c", "long/path/to/some/very/deep/handler.cs", "other/deep/handler.cs"]
+    got = {(r["text"], r["file"]) for r in answers.mentions(spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string"), spark.createDataFrame([(f,) for f in files], "file string")).collect()}
+    assert got == {(t, f) for t in texts for f in files if f in t.lower()}
+
+
+def test_sets_of_many_ends(spark):
+    """More ends than a word has bits; a circle; an end that reaches itself."""
+    nodes = [node(f"T{i}", "Table") for i in range(70)] + [node(x, "Method") for x in "ABCD"]
+    edges = [edge("A", f"T{i}") for i in range(70)] + [edge("B", "A"), edge("A", "B"), edge("C", "T3"), edge("T3", "T4")]
+    g = graph(spark, nodes, edges)
+    n = {r["id"]: r["n"] for r in traverse.reached_sets(g, g.nodes.where("kind = 'Table'")).collect()}
+    assert (n["A"], n["B"], n["C"], n["T3"], n["T4"], n.get("D")) == (70, 70, 2, 2, 1, None)
