@@ -45,4 +45,4 @@ def test_stored_media_are_filtered(monkeypatch):
         raw = text.encode()
         assert n == len(raw)
         assert np.ascontiguousarray(media.decode_png(png)).tobytes() == raw.ljust(max(1, -(-n // media.WIDTH)) * media.WIDTH, b"\0")
-    assert all(set(k) == {media.UP} for k in kinds) and len(kinds) == len(texts)
+    assert all(set(k) == {media.SUB} for k in kinds) and len(kinds) == len(texts)
