@@ -1,16 +1,24 @@
 """Near-duplicate groups by the Jaccard similarity of five-word shingles.
 
 Two texts are linked if their sets of shingles have a similarity of 0.8 or
-more, and a group is what links connect.  SimHash cannot give these links: at
-0.8 fingerprints differ in about ten of 64 bits, a budget at which a trie drops
-hardly any pair.  So candidates share one of ``BANDS`` bands of ``ROWS`` least
-hashes (a pair at 0.8 shares none with probability 5e-8, one above it less),
-and every candidate pair is confirmed on the whole shingle sets.
-
-Texts of equal words are one node.  Nodes that bands connect are one unit of
-work, in which each text comes once.  In a unit the texts of a band are tested
-until those left are one group, the texts of small groups first: a band of
-near copies costs one comparison a text, not one a pair.
+more, and a group is what links connect.  As for op5, fingerprints (SimHash, of
+a set) are joined in a binary trie, and star contraction makes groups of links:
+
+1. The trie joins fingerprints within ``BUDGET`` bits.  What it connects is a
+   candidate group, and each of its texts is compared with one of them.
+2. Pairs at 0.8 differ in about ten of 64 bits, a budget at which a trie drops
+   hardly any pair.  So that no link is lost, texts also are candidates if they
+   share one of ``BANDS`` bands of ``ROWS`` least hashes (a pair at 0.8 shares
+   none with probability 5e-8, one above it less).  Bands and candidate groups
+   whose texts the first step made one group are done; nodes that the others
+   connect are one unit of work, in which each text comes once.  In a unit the
+   texts of a band are tested until those left are one group, the texts of
+   small groups first: a band of near copies costs one comparison a text, not
+   one a pair.
+3. Star contraction of the links of both steps.
+
+Every link is confirmed on the whole shingle sets.  Texts of equal words are
+one node.
 
 Words: runs without ASCII white space, A-Z in lower case.  Fewer words than the
 width: the whole sequence is one shingle.
@@ -33,11 +41,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType, StructField, StructType
 
+from spanweave.llm import simhash
 from spanweave.llm.common import byte_texts, materialise, release, unused
 from spanweave.llm.components import components
 from spanweave.llm.substrings import _mix, text_hashes, window_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
+#: Bits in which fingerprints that the trie joins differ, at most.
+BUDGET = 4
 #: Bands of a text, least hashes of a band, shingles that are hashed at once.
 BANDS, ROWS, BLOCK = 32, 4, 1024
 
@@ -52,6 +63,18 @@ def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     return np.unique(window_hashes(words, min(width, len(words))))
 
 
+def fingerprint(found: np.ndarray) -> int | None:
+    """64-bit SimHash of a set, as a signed number: a bit is 1 if set in over
+    half the hashes.  None for an empty set."""
+    if not len(found):
+        return None
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(found), 4096):
+        part = np.ascontiguousarray(found[i : i + 4096], "<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.add.reduce(np.unpackbits(part, axis=1, bitorder="little"), axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(found), bitorder="little").view("<i8")[0])
+
+
 def bands(found: np.ndarray) -> np.ndarray:
     """A 64-bit key of each band; none for an empty set."""
     if not len(found):
@@ -70,11 +93,11 @@ def node_of(text: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(b" ".join(text.lower().split()), digest_size=8).digest(), "little", signed=True)
 
 
-def groups(sets: list[np.ndarray], buckets: list[list[int]], similarity: float = SIMILARITY) -> np.ndarray:
+def groups(sets: list[np.ndarray], buckets: list[list[int]], similarity: float = SIMILARITY, root: np.ndarray | None = None) -> np.ndarray:
     """The least member of each set's group; two sets are compared if a bucket
-    has both and their groups are not one yet."""
+    has both and their groups are not one yet.  ``root``: groups to begin with."""
     size = np.array([len(s) for s in sets])
-    root = np.arange(len(sets))
+    root = np.arange(len(sets)) if root is None else root.copy()
     for bucket in buckets:
         left = np.array(bucket)
         while len(left) > 1:
@@ -102,14 +125,20 @@ def _prints(width: int):
         for batch in batches:
             texts = byte_texts(batch.column(1))
             keys = [hashlib.blake2b(t, digest_size=16).hexdigest() for t in texts]
+            fps, each = [], []
+            for t in texts:
+                found = shingles(t, width)
+                fps.append(fingerprint(found))
+                each.append(bands(found).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(keys, pa.string()),
                     pa.array([node_of(t) for t in texts], pa.int64()),
-                    pa.array([bands(shingles(t, width)).view(np.int64) for t in texts], pa.list_(pa.int64())),
+                    pa.array(fps, pa.int64()),
+                    pa.array(each, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "text_key", "node", "bands"],
+                names=["doc_id", "text_key", "node", "fp", "bands"],
             )
         release()
 
@@ -123,34 +152,74 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([node_of(t) for t in texts], pa.int64()), pa.array([press.compress(t) for t in texts], pa.binary())], names=["node", "packed"])
 
 
+def _confirmed(width: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, pivot, of = zstandard.ZstdDecompressor(), None, None
+        for batch in batches:
+            hit = []
+            for p, a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if p != pivot:
+                    pivot, of = p, shingles(unpack.decompress(b), width)
+                hit.append(not groups([of, shingles(unpack.decompress(a), width)], [[0, 1]], similarity).any())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["node", "root"]).filter(pa.array(hit, pa.bool_()))
+
+    return run
+
+
 def _unit(width: int, similarity: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         unpack = zstandard.ZstdDecompressor()
         pdf = pdf.sort_values("node")
         sets = [shingles(unpack.decompress(p), width) for p in pdf["packed"]]
-        buckets: dict[int, list[int]] = {}
-        for i, found in enumerate(sets):
-            for key in bands(found).tolist():
+        buckets: dict[tuple, list[int]] = {}
+        for i, (found, tree) in enumerate(zip(sets, pdf["tree"].tolist(), strict=True)):
+            for key in [("tree", tree), *(("band", k) for k in bands(found).tolist())]:
                 buckets.setdefault(key, []).append(i)
         each = {tuple(b) for b in buckets.values() if len(b) > 1}  # many bands have the same texts
         nodes = pdf["node"].to_numpy()
-        return pd.DataFrame({"node": nodes, "root": nodes[groups(sets, [list(b) for b in sorted(each, key=lambda b: (-len(b), b))], similarity)]})
+        _, first, back = np.unique(pdf["label"].to_numpy(), return_index=True, return_inverse=True)
+        root = groups(sets, [list(b) for b in sorted(each, key=lambda b: (-len(b), b))], similarity, first[back])
+        return pd.DataFrame({"node": nodes, "root": nodes[root]})
 
     return run
 
 
-def roots(docs: DataFrame, prints: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root) of the nodes that share a band with another; root is one
-    node of the group."""
-    each = prints.select("node", F.explode("bands").alias("band"))
-    least = each.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").drop("high")
-    least = materialise(least, "bands")  # a table, so that a common band's rows can be split over tasks
-    edges = each.join(least, "band").where("node != low").select(F.col("node").alias("u"), F.col("low").alias("v"))
-    coarse = materialise(components(edges), "units").withColumnRenamed("root", "unit")
+def trees(nodes: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """(node, bands, tree) of the nodes with words; tree is one fingerprint of
+    those that the trie connects with the node's."""
+    nodes = nodes.where("fp is not null")
+    near = simhash.block_links(materialise(nodes.select("fp").distinct(), "fingerprints"), budget)
+    near = materialise(components(near), "trees").withColumnRenamed("node", "fp")
+    return nodes.join(near, "fp", "left").select("node", "bands", F.coalesce("root", "fp").alias("tree"))
+
+
+def roots(docs: DataFrame, nodes: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root) of the nodes that have links; root is the group's least node."""
+    keyed = materialise(trees(nodes), "keyed")
+    each = keyed.select("node", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("tree"), F.col("tree").alias("of"))), F.transform("bands", lambda b: F.struct(F.lit(False).alias("tree"), b.alias("of"))))).alias("bucket"))
+    each = each.select("node", F.col("bucket.tree").alias("is_tree"), F.col("bucket.of").alias("bucket"))
+    on = ["is_tree", "bucket"]
+    many = each.groupBy(*on).agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").drop("high")
+    many = materialise(many, "buckets")  # a table, so that a common band's rows can be split over tasks
+    shared = materialise(each.join(many, on), "shared")
     packed = docs.select("text").mapInArrow(_packed, "node long, packed binary")
     # one text of a node before anything moves: partly in each task, then by node
-    texts = packed.groupBy("node").agg(F.first("packed").alias("packed")).join(coarse, "node")
-    return texts.groupBy("unit").applyInPandas(_unit(width, similarity), "node long, root long")
+    texts = packed.groupBy("node").agg(F.first("packed").alias("packed")).join(shared.select("node").distinct(), "node")
+    texts = materialise(texts, "texts")
+    # the trie's links: each node of a tree with the least one
+    pairs = shared.where("is_tree and node != low").select("node", F.col("low").alias("pivot"))
+    pairs = pairs.join(texts, "node").join(texts.select(F.col("node").alias("pivot"), F.col("packed").alias("other")), "pivot").select("node", "pivot", "packed", "other")
+    first = materialise(pairs.mapInArrow(_confirmed(width, similarity), "node long, root long"), "tree_links")
+    # the rest: buckets whose nodes are not one group yet
+    label = shared.join(first, "node", "left").select("node", "low", *on, F.coalesce("root", "node").alias("label"))
+    left = label.groupBy(*on).agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").drop("a", "b")
+    edges = shared.join(materialise(left, "left"), on).where("node != low").select(F.col("node").alias("u"), F.col("low").alias("v"))
+    coarse = materialise(components(edges), "units").withColumnRenamed("root", "unit")
+    units = texts.join(coarse, "node").join(keyed.select("node", "tree"), "node").join(first, "node", "left")
+    units = units.select("unit", "node", "tree", "packed", F.coalesce("root", "node").alias("label"))
+    rest = units.groupBy("unit").applyInPandas(_unit(width, similarity), "node long, root long")
+    links = first.union(rest.where("node != root"))
+    return components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
 
 
 def _text_keys(at: int, name: str):
@@ -168,11 +237,11 @@ def keep_first(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARI
     The row with the least (doc_id, text digest) stays, a null id last; of rows
     equal in both the first by all other columns, so that reruns agree.
     """
-    prints = docs.select("doc_id", "text").mapInArrow(_prints(width), "doc_id long, text_key string, node long, bands array<long>")
+    prints = docs.select("doc_id", "text").mapInArrow(_prints(width), "doc_id long, text_key string, node long, fp long, bands array<long>")
     last = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     prints = materialise(prints.withColumn("key", last), "shingles")
-    distinct = materialise(prints.groupBy("node").agg(F.min("key").alias("own")), "nodes")
-    linked = distinct.join(materialise(roots(docs, prints, width, similarity), "roots"), "node", "left")
+    nodes = materialise(prints.groupBy("node").agg(F.min("key").alias("own"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
+    linked = nodes.select("node", "own").join(materialise(roots(docs, nodes, width, similarity), "roots"), "node", "left")
     kept = linked.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("own").alias("least"))
     key, k_doc, k_text = unused(docs.columns, "_text_key", "_k_doc", "_k_text")
     kept = kept.select(F.col("least.doc_id").alias(k_doc), F.col("least.text_key").alias(k_text))

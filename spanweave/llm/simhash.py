@@ -38,6 +38,9 @@ from spanweave.llm.components import components
 SUBTREE, LEAF = 16_000, 8
 #: Fingerprints by which the top bits are chosen.
 PLAN = 20_000
+#: Blocks that a block of ``block_links`` is compared with, at most, and
+#: fingerprints of a part of a block whose nodes are walked level by level.
+COPIES, PART = 128, 4096
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -236,6 +239,63 @@ def links(distinct: DataFrame, budget: int = 2) -> DataFrame:
     return units.groupBy("x", "y").applyInPandas(unit, "u long, v long")
 
 
+def walk(a: np.ndarray, b: np.ndarray | None, top: int, apart: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``trie_links`` in parts of ``PART`` fingerprints: the upper nodes are
+    walked depth first, so that memory does not grow with the block."""
+    if top == 64 or max(len(a), 0 if b is None else len(b)) <= PART:
+        yield trie_links(a, b, top, apart, budget)
+        return
+    bit = np.uint64(63 - top)
+    a0, a1 = np.split(a, [int((a >> bit & np.uint64(1)).argmax()) if a[-1] >> bit & np.uint64(1) else len(a)])
+    if b is None:
+        parts = [(a0, None, apart), (a1, None, apart), (a0, a1, apart + 1)]
+    else:
+        b0, b1 = np.split(b, [int((b >> bit & np.uint64(1)).argmax()) if b[-1] >> bit & np.uint64(1) else len(b)])
+        parts = [(a0, b0, apart), (a1, b1, apart), (a0, b1, apart + 1), (a1, b0, apart + 1)]
+    for x, y, far in parts:
+        if far <= budget and len(x) and (y is None or len(y)):
+            yield from walk(x, y, top + 1, far, budget)
+
+
+def block_links(distinct: DataFrame, budget: int) -> DataFrame:
+    """``links`` for a wider budget.  The fingerprints of a prefix move as one
+    sorted array, eight bytes a copy, and a block goes to ``COPIES`` pairs of
+    blocks at most: fewer top bits make larger blocks, and leave out nothing."""
+    n = distinct.count()
+    top = min(24, max(1, math.ceil(math.log2(max(2, n / SUBTREE)))))
+    while top > 1 and sum(math.comb(top, m) for m in range(min(budget, top) + 1)) > COPIES:
+        top -= 1
+    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(PLAN).select("fp").collect()
+    order = _even_bits(np.array([r["fp"] for r in sample], np.int64).view(np.uint64), top)
+    back = [0] * 64  # the inverse order
+    for k, bit in enumerate(order):
+        back[63 - bit] = 63 - k
+    prefix = F.lit(0)
+    for k in order[:top]:
+        prefix = prefix * 2 + F.getbit("fp", F.lit(k)).cast("int")
+    masks = [sum(1 << k for k in c) for m in range(min(budget, top) + 1) for c in combinations(range(top), m)]
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        fps = np.sort(_swap(pdf["fp"].to_numpy(np.int64).view(np.uint64), order))
+        return pd.DataFrame({"p": [int(key[0])], "fps": [fps.astype("<u8").tobytes()]})
+
+    def unit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = int(key[0]), int(key[1])
+        blocks = {p: np.frombuffer(fps, "<u8") for p, fps in zip(pdf["p"], pdf["fps"], strict=True)}
+        found = []
+        if x == y or len(blocks) == 2:
+            found = [spanning(u, v) for u, v in walk(blocks[x], None if x == y else blocks[y], top, (x ^ y).bit_count(), budget) if len(u)]
+        none = [np.zeros(0, np.uint64)]
+        u, v = spanning(np.concatenate([u for u, _ in found] or none), np.concatenate([v for _, v in found] or none))
+        return pd.DataFrame({"u": _swap(u, back).view(np.int64), "v": _swap(v, back).view(np.int64)})
+
+    blocks = materialise(distinct.select("fp", prefix.alias("p")).groupBy("p").applyInPandas(pack, "p int, fps binary"), "blocks")
+    units = blocks.select("p", "fps", F.explode(F.array(*[F.lit(m) for m in masks])).alias("m"))
+    units = units.select("p", "fps", F.least("p", F.col("p").bitwiseXOR(F.col("m"))).alias("x"), F.greatest("p", F.col("p").bitwiseXOR(F.col("m"))).alias("y"))
+    # so many parts that small blocks are not put together in a few tasks
+    return units.repartition(min(2048, len(masks) << top), "x", "y").groupBy("x", "y").applyInPandas(unit, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
     """doc_id, fingerprint, component_id: one row per input row.
 
