@@ -107,6 +107,14 @@ def contract(edges: DataFrame, nodes: DataFrame, kept: DataFrame) -> DataFrame:
     return best.select("qid", F.col("source").alias("fromId"), "toId", "b.kind", "b.label", "b.ambiguous", "b.callSites")
 
 
+def layer_edges(graph: Graph, starts: DataFrame) -> DataFrame:
+    """Edges of the diagrams of many starts (qid, id) that keep every layer node
+    but utilities, those that reach no data and interface members too."""
+    sub = subgraph(graph, starts)
+    nodes = stored(sub.nodes, "flow")
+    return contract(sub.edges, nodes, nodes.where(~F.col("utility") & F.col("kind").isin(*LAYER_KINDS)).select("qid", "id"))
+
+
 def flow_diagram(graph: Graph, starts: DataFrame) -> FlowDiagram:
     """Diagrams of many starts (qid, id) at once."""
     sub = subgraph(graph, starts)
