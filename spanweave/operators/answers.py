@@ -76,6 +76,13 @@ def entry_points(nodes: DataFrame, starts: DataFrame) -> DataFrame:
     return roots.groupBy("qid", "rootKind").agg(F.count("*").alias("total"), F.array_sort(F.collect_list(ref)).alias("roots")).withColumn("ordinal", ordinal(F.col("rootKind"), "RootKind"))
 
 
+def entry_point_totals(nodes: DataFrame, starts: DataFrame) -> DataFrame:
+    """qid, rootKind, total, nearest: ``entry_points`` without their list, which
+    is one row for all roots of a kind."""
+    roots = nodes.where("rootKind <> 'None'").join(starts.select("qid", "id"), ["qid", "id"], "left_anti")
+    return roots.groupBy("qid", "rootKind").agg(F.count("*").alias("total"), F.min("depth").alias("nearest"))
+
+
 def event_bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """qid, event, name, module, location, publishedBy, consumedBy."""
     pub = edges.where("kind = 'Publishes'").groupBy("qid", F.col("toId").alias("event")).agg(F.array_sort(F.collect_set("fromId")).alias("publishedBy"))
@@ -102,8 +109,8 @@ def truncated(graph: Graph, sub: Subgraph, direction: str, query: TraversalQuery
     e = graph.edges if query.edge_kinds is None else graph.edges.where(F.col("kind").isin(*query.edge_kinds))
     near, far = ("fromId", "toId") if direction == "Forward" else ("toId", "fromId")
     rim = sub.seen.where(F.col("depth") >= query.max_depth).select("qid", F.col("id").alias(near))
-    out = rim.join(e.select(near, far).distinct(), near).join(graph.nodes.select(F.col("id").alias(far)), far, "left_semi").select("qid", F.col(far).alias("id"))
-    out = out.join(sub.seen.select("qid", "id"), ["qid", "id"], "left_anti").select("qid").distinct().withColumn("truncated", F.lit(True))
+    out = rim.join(e.select(near, far), near).select("qid", F.col(far).alias("id")).distinct()
+    out = out.join(sub.seen.select("qid", "id"), ["qid", "id"], "left_anti").join(graph.nodes.select("id"), "id").select("qid").distinct().withColumn("truncated", F.lit(True))
     return sub.seen.select("qid").distinct().join(out, "qid", "left").select("qid", F.coalesce("truncated", F.lit(False)).alias("truncated"))
 
 

@@ -56,6 +56,16 @@ def evidence_rows(graph: Graph, root: str | None = None) -> DataFrame:
     return e.select("from", "to", "kind", text.alias("evidence"))
 
 
+def dependency_counts(graph: Graph) -> DataFrame:
+    """from, to, n: ``dependencies`` added up, without their evidence.  Edges are
+    counted by the module they come from before they meet the other end."""
+    e = graph.edges.where(F.col("kind").isin("Publishes", "Consumes", "Calls")).select("fromId", "toId")
+    module = graph.nodes.select("id", "module")
+    out = e.join(module, e["fromId"] == module["id"]).groupBy(F.col("module").alias("from"), "toId").agg(F.count("*").alias("n"))
+    to = module.select(F.col("id").alias("toId"), F.col("module").alias("to"))
+    return out.join(to, "toId").where((F.col("from") != F.col("to")) & (F.col("to") != SHARED)).groupBy("from", "to").agg(F.sum("n").alias("n"))
+
+
 def shared_dependents(graph: Graph) -> DataFrame:
     """module, n: edges into the shared module by where they come from."""
     return _cross(graph).where(F.col("to") == SHARED).groupBy(F.col("from").alias("module")).agg(F.count("*").alias("n"))
@@ -76,7 +86,7 @@ def rollup(graph: Graph) -> DataFrame:
     """module, endpoints, with_data, tables, events, edges_out, edges_in."""
     ends = endpoint_tables(graph).groupBy("module").agg(F.count("*").alias("endpoints"), F.count_if(F.col("tables") > 0).alias("with_data"))
     own = graph.nodes.groupBy("module").agg(F.count_if(F.col("kind") == "Table").alias("tables"), F.count_if(F.col("kind") == "Event").alias("events"))
-    deps = dependencies(graph).select("from", "to", "n")
+    deps = dependency_counts(graph)
     out = deps.groupBy(F.col("from").alias("module")).agg(F.sum("n").alias("edges_out"))
     in_ = deps.groupBy(F.col("to").alias("module")).agg(F.sum("n").alias("edges_in"))
     zero = F.lit(0).cast("long")
